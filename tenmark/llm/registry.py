@@ -56,3 +56,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_scan
 
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def remainder(of: int):
+    """crc32 of the id as text, modulo ``of``."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_languages, languages
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, remainder(3) != 1)
+    return languages(docs, model, remainder(3) == 1)
