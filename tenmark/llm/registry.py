@@ -80,3 +80,74 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, remainder(3) != 1)
     return languages(docs, model, remainder(3) == 1)
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import through_archives
+
+    return through_archives(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
+@query
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    from pyspark.sql import functions as F
+
+    from .chat import preference_pairs
+
+    conv = F.col("conv_id")
+    return preference_pairs(table(spark, sf_dir, "conversations"), F.floor(conv / 2).cast("long"), F.pmod(conv, F.lit(2)) == 0)
+
+
+ORACLES["op5_preference_pairs"] = """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+differ AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k
+  FROM (SELECT * FROM t WHERE c) a FULL JOIN (SELECT * FROM t WHERE NOT c) b ON a.pair_id = b.pair_id AND a.k = b.k
+  WHERE a.role IS NULL OR b.role IS NULL OR a.role <> b.role OR a.text <> b.text),
+p AS (
+  SELECT t.pair_id, coalesce(min(d.k) - 1, max(t.k)) AS n FROM t LEFT JOIN differ d ON t.pair_id = d.pair_id GROUP BY t.pair_id),
+r AS (
+  SELECT t.*, p.n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s,
+         coalesce(sum(CASE WHEN k > n THEN length(role) + length(text) + 24 END) OVER (PARTITION BY t.pair_id, c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM t JOIN p ON t.pair_id = p.pair_id),
+m AS (
+  SELECT *, CAST(pos + 13 + length(role) AS BIGINT) || ':' || CAST(pos + 23 + length(role) + length(text) AS BIGINT) AS span FROM r)
+SELECT pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
+  coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE c AND k <= n), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE c AND k > n), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE NOT c AND k > n), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY k) FILTER (WHERE c AND k > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY k) FILTER (WHERE NOT c AND k > n AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY pair_id
+"""
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return quality_scores(docs, model, remainder(4) == 2)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
