@@ -6,16 +6,20 @@
    all shingles. The order is by frequency, rare first, so that passages which many documents share seldom
    route anything. Frequencies are counted over the whole corpus in a sketch of fixed size; its errors change
    the order for all documents alike and no result.
-3. Classes that share such a shingle form a bucket; buckets with the same members are one. A bucket beyond
-   ``BUCKET`` classes or ``BUCKET_SHINGLES`` shingles is dealt into chunks and every two chunks meet in a task
-   of their own, so no task holds a bucket of any size and no pair is lost.
-4. In a bucket, a T-occurrence search (DivideSkip, see ``shingles``) over the whole sets finds links. Only
+3. Sizes of sets that link differ by a factor of t at most. Each class is in the size band of its own and the
+   next one, so such sets share a band. Classes with a shingle and a band in common form a group.
+4. Groups that overlap form a bucket if it is small; else each group is a bucket of its own, once for groups
+   with the same members. A bucket beyond ``BUCKET`` classes or ``BUCKET_SHINGLES`` shingles is dealt into
+   chunks and every two chunks meet in a task of their own, so no task holds a bucket of any size and no pair
+   is lost.
+5. In a bucket, a T-occurrence search (DivideSkip, see ``shingles``) over the whole sets finds links. Only
    links that connect something are put out, at most one per class and bucket.
-5. Components of those links by least label with pointer jumping; each round is a written table.
+6. Components of those links by least label with pointer jumping; each round is a written table.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -93,28 +97,58 @@ def _signed(rows: DataFrame, size: int, percent: int, id_column: str) -> DataFra
     return written(rows.select(id_column, "th", "text").mapInArrow(run, f"`{id_column}` {kind}, th long, n long, node binary, prefix array<long>"), "signed")
 
 
-def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows ``(a, b)``: links between classes that connect all that links connect."""
-    post = classes.select(F.explode("prefix").alias("token"), "node", "th", "n")
-    own = F.xxhash64("node")
-    groups = post.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    groups = groups.filter("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.min("shingles").alias("shingles"))
+def _groups(classes: DataFrame, percent: int) -> DataFrame:
+    """``token, nid, n``: classes that share a shingle of their prefixes and a size band, groups of one set once.
+
+    ``nid`` is a class's name as 64 bits. Two classes of one name would be looked at together, and no harm.
+    """
+    post = classes.select(F.explode("prefix").alias("token"), "nid", F.col("n").cast("int").alias("n"))
+    shared = post.groupBy("token").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("token")
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    placed = post.join(shared, "token").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "nid", "n")
+    placed = written(placed.select(F.xxhash64("token", "band").alias("token"), "nid", "n"), "placed")
+    same = placed.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("nid").alias("x")).filter("c > 1").groupBy("c", "x").agg(F.min("token").alias("token"))
+    return written(placed.join(same.select("token"), "token"), "groups")
+
+
+def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """``bucket, q, i, j, nid``: the tasks in which each class is looked at."""
+    groups = _groups(classes, percent)
+    ties = groups.join(groups.groupBy("token").agg(F.min("nid").alias("b")), "token").select(F.col("nid").alias("a"), "b").distinct()
+    labels = components(ties)
+    whole = groups.select("nid", "n").distinct().join(labels, F.col("nid") == F.col("node"))
+    sizes = whole.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    whole = whole.join(sizes.filter((F.col("c") <= BUCKET) & (F.col("shingles") <= BUCKET_SHINGLES)).select("label"), "label").select(F.col("label").alias("bucket"), "nid")
+    whole = written(whole, "whole")
+    zero = F.lit(0)
+    small = whole.select("bucket", zero.alias("q"), zero.alias("i"), zero.alias("j"), "nid")
+
+    rest = written(groups.join(whole.select("nid"), "nid", "left_anti"), "rest")
     chunks = F.greatest(F.ceil(F.col("c") / BUCKET), F.ceil(F.col("shingles") / BUCKET_SHINGLES)).cast("int")
-    groups = groups.select("token", chunks.alias("chunks"))
-    members = post.join(groups, "token").withColumn("q", F.pmod(own, F.col("chunks")).cast("int"))
-    members = written(members.select("token", "node", "th", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")), "members")
+    dealt = rest.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).select("token", chunks.alias("chunks"))
+    own = rest.join(dealt, "token").withColumn("q", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+    own = own.select(F.col("token").alias("bucket"), "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"), "nid")
+    return written(small.unionAll(own.select("bucket", "q", F.least("q", "o").alias("i"), F.greatest("q", "o").alias("j"), "nid")), "buckets")
 
-    needed = written(members.select("th").distinct(), "needed")
-    needed = F.broadcast(needed) if needed.count() <= FEW else needed  # 8 bytes each
-    found = rows.select("th", "text").join(needed, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+
+def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int, id_column: str) -> DataFrame:
+    """Rows ``(a, b)``: links between classes that connect all that links connect."""
+    buckets = _buckets(classes, percent)
+    needed = written(classes.join(buckets.select("nid").distinct(), "nid", "left_semi").select("nid", "node", F.col("first._id").alias("_id"), F.col("first._th").alias("_th")), "needed")
+    few = needed.count() <= FEW  # 56 bytes each
+    match = (F.col("th") == F.col("_th")) & F.col(id_column).eqNullSafe(F.col("_id"))
+    found = rows.join(F.broadcast(needed) if few else needed, match).select("nid", "node", "text")
     # no hint: the texts have no bound
-    dealt = members.select("token", "node", "th", "q", F.least("q", "o").alias("i"), F.greatest("q", "o").alias("j")).join(found, "th")
-    dealt = dealt.select("token", "i", "j", "q", "node", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = buckets.join(found, "nid").select(F.col("bucket").alias("token"), "i", "j", "q", "node", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def bucket(nodes: list[bytes], held: list[str], q: list[int], split: bool) -> Iterator[tuple]:
         sets = shingle_sets(held, size)
-        order = sorted((k for k in range(len(sets)) if digest(sets[k]) == nodes[k]), key=lambda k: len(sets[k]))
+        first = {}
+        for k, own in enumerate(sets):
+            if digest(own) == nodes[k]:
+                first.setdefault(nodes[k], k)  # repeated rows
+        order = sorted(first.values(), key=lambda k: len(sets[k]))
         side = np.array([q[k] for k in order]) if split else None
         for x, y in forest([sets[k] for k in order], percent, side):
             yield nodes[order[x]], nodes[order[y]]
@@ -163,9 +197,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     """
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = _signed(rows, size, percent, id_column)
-    least = F.min(id_column).alias("least")
-    classes = written(signed.filter("node IS NOT NULL").groupBy("node").agg(least, F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    labels = components(_links(rows, classes, size, percent))
+    who = F.struct(F.col(id_column).alias("_id"), F.col("th").alias("_th"))
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("least"), F.min(who).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = written(classes.withColumn("nid", F.xxhash64("node")), "classes")
+    labels = components(_links(rows, classes, size, percent, id_column))
     named = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(whole, "component").select("node", "component", "component_id")
