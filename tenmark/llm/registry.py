@@ -73,6 +73,32 @@ def remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op2_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS s FROM w, unnest(range(1, len(w) - least(len(w), 3) + 2)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON d.doc_id = m.a
+"""
+
+ORACLES["op8_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM b, unnest(range(1, len(w) - k + 2)) t(i)),
+h AS (SELECT x.doc_id, x.i, x.k, g.item FROM (SELECT doc_id, i, z.k, array_to_string(w[i : i + z.k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM g) z, unnest(range(1, len(w) - z.k + 2)) t(i)) x JOIN g ON x.g = g.g AND x.k = g.k),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, k)) t(j) GROUP BY 1),
+e AS (SELECT doc_id, count(DISTINCT item) AS n, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(e.n, 0) AS n_items, coalesce(e.s, sha256('')) AS items_sha256,
+       coalesce(c.n_hit > 0 AND 20 * c.n_hit >= len(d.w), false) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
+"""
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_languages, languages
