@@ -7,14 +7,17 @@
    route anything. Frequencies are counted over the whole corpus in a sketch of fixed size; its errors change
    the order for all documents alike and no result.
 3. Sizes of sets that link differ by a factor of t at most. Each class is in the size band of its own and the
-   next one, so such sets share a band. Classes with a shingle and a band in common form a group.
-4. Groups that overlap form a bucket if it is small; else each group is a bucket of its own, once for groups
-   with the same members. A bucket beyond ``BUCKET`` classes or ``BUCKET_SHINGLES`` shingles is dealt into
-   chunks and every two chunks meet in a task of their own, so no task holds a bucket of any size and no pair
-   is lost.
-5. In a bucket, a T-occurrence search (DivideSkip, see ``shingles``) over the whole sets finds links. Only
-   links that connect something are put out, at most one per class and bucket.
-6. Components of those links by least label with pointer jumping; each round is a written table.
+   next one, so such sets share a band. Classes with a shingle and a band in common form a group; groups with
+   the same members are one.
+4. Prefixes are kept a little longer than needed, so sets that link must share more than one shingle of them.
+   In each group a T-occurrence search (DivideSkip, see ``shingles``) over the prefixes finds candidates. This
+   looks at a tenth or a fifth of a text in 32-bit values and clears nearly all that one passage has brought
+   together. Only pairs that connect something are put out.
+5. Classes that candidates connect form a bucket. There the same search over the whole sets finds links, at
+   most one per class.
+6. A group or bucket beyond ``BUCKET`` classes or ``BUCKET_SHINGLES`` shingles is dealt into chunks and every
+   two chunks meet in a task of their own, so no task holds one of any size and no pair is lost.
+7. Components by least label with pointer jumping; each round is a written table.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, texts, written
-from .shingles import digest, forest, least_overlap, shingle_sets
+from .shingles import candidates, digest, least_overlap, links, shingle_sets, spare
 
 SKETCH_BITS = 21
 _BLOCK = 1 << 14
@@ -71,7 +74,7 @@ def _levels(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, size: int, percent: int, id_column: str) -> DataFrame:
-    """``id, th, n, node, prefix``: the set's size and name, and the shingles by which it is routed."""
+    """``id, th, n, node, prefix, more``: the set's size and name, the shingles by which it is routed, and some after them."""
     spark = rows.sparkSession
     kind = rows.schema[id_column].dataType.simpleString()
     sent = spark.sparkContext.broadcast(_levels(rows, size))
@@ -81,101 +84,121 @@ def _signed(rows: DataFrame, size: int, percent: int, id_column: str) -> DataFra
         for b in it:
             found = texts(b.column(2))
             for lo in range(0, len(found), 2048):
-                n, node, first, lengths = [], [], [], []
+                n, node, first, more = [], [], [], []
                 for s in shingle_sets(found[lo : lo + 2048], size):
                     n.append(len(s))
                     node.append(digest(s) if len(s) else None)
                     most = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
                     level = levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
-                    first.append(s[np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:most]])
-                    lengths.append(most)
-                values = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
-                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
+                    order = np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
+                    first.append(s[order[:most]].view(np.int64))
+                    more.append((s[order[most : most + spare(len(s), percent)]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 part = b.slice(lo, len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), prefix], names=[id_column, "th", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), _lists(first, np.int64), _lists(more, np.int32)], names=[id_column, "th", "n", "node", "prefix", "more"])
 
-    return written(rows.select(id_column, "th", "text").mapInArrow(run, f"`{id_column}` {kind}, th long, n long, node binary, prefix array<long>"), "signed")
+    return written(rows.select(id_column, "th", "text").mapInArrow(run, f"`{id_column}` {kind}, th long, n long, node binary, prefix array<long>, more array<int>"), "signed")
 
 
-def _groups(classes: DataFrame, percent: int) -> DataFrame:
-    """``token, nid, n``: classes that share a shingle of their prefixes and a size band, groups of one set once.
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    values = np.concatenate(parts) if parts else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)), pa.array(values.astype(kind)))
+
+
+def _groups(signed: DataFrame, percent: int) -> DataFrame:
+    """``bucket, nid, n``: classes that share a shingle of their prefixes and a size band, groups of one set once.
 
     ``nid`` is a class's name as 64 bits. Two classes of one name would be looked at together, and no harm.
     """
-    post = classes.select(F.explode("prefix").alias("token"), "nid", F.col("n").cast("int").alias("n"))
-    shared = post.groupBy("token").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("token")
+    post = signed.select(F.explode("prefix").alias("token"), "nid", F.col("n").cast("int").alias("n"))
+    shared = written(post.groupBy("token").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("token"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= FEW else shared  # 8 bytes each
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else F.col("n")
     placed = post.join(shared, "token").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "nid", "n")
-    placed = written(placed.select(F.xxhash64("token", "band").alias("token"), "nid", "n"), "placed")
+    placed = written(placed.select(F.xxhash64("token", "band").alias("token"), "nid", "n").distinct(), "placed")
     same = placed.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("nid").alias("x")).filter("c > 1").groupBy("c", "x").agg(F.min("token").alias("token"))
-    return written(placed.join(same.select("token"), "token"), "groups")
-
-
-def _buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """``bucket, q, i, j, nid``: the tasks in which each class is looked at."""
-    groups = _groups(classes, percent)
-    ties = groups.join(groups.groupBy("token").agg(F.min("nid").alias("b")), "token").select(F.col("nid").alias("a"), "b").distinct()
-    labels = components(ties)
-    whole = groups.select("nid", "n").distinct().join(labels, F.col("nid") == F.col("node"))
-    sizes = whole.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
-    whole = whole.join(sizes.filter((F.col("c") <= BUCKET) & (F.col("shingles") <= BUCKET_SHINGLES)).select("label"), "label").select(F.col("label").alias("bucket"), "nid")
-    whole = written(whole, "whole")
-    zero = F.lit(0)
-    small = whole.select("bucket", zero.alias("q"), zero.alias("i"), zero.alias("j"), "nid")
-
-    rest = written(groups.join(whole.select("nid"), "nid", "left_anti"), "rest")
+    return written(placed.join(same.select("token"), "token").withColumnRenamed("token", "bucket"), "groups")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``bucket, q, i, j, nid``: every two chunks ``i <= j`` of a bucket are a task; ``q`` is a row's own chunk."""
     chunks = F.greatest(F.ceil(F.col("c") / BUCKET), F.ceil(F.col("shingles") / BUCKET_SHINGLES)).cast("int")
-    dealt = rest.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).select("token", chunks.alias("chunks"))
-    own = rest.join(dealt, "token").withColumn("q", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
-    own = own.select(F.col("token").alias("bucket"), "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"), "nid")
-    return written(small.unionAll(own.select("bucket", "q", F.least("q", "o").alias("i"), F.greatest("q", "o").alias("j"), "nid")), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).select("bucket", chunks.alias("chunks"))
+    own = members.join(sizes, "bucket").withColumn("q", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+    own = own.select("bucket", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"), "nid")
+    return own.select("bucket", "q", F.least("q", "o").alias("i"), F.greatest("q", "o").alias("j"), "nid")
 
 
-def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int, id_column: str) -> DataFrame:
-    """Rows ``(a, b)``: links between classes that connect all that links connect."""
-    buckets = _buckets(classes, percent)
-    needed = written(classes.join(buckets.select("nid").distinct(), "nid", "left_semi").select("nid", "node", F.col("first._id").alias("_id"), F.col("first._th").alias("_th")), "needed")
-    few = needed.count() <= FEW  # 56 bytes each
+def _first_rows(rows: DataFrame, classes: DataFrame, members: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """``nid, node`` and ``columns`` of one row of ``rows`` for each class in ``members``."""
+    wanted = classes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "node", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"))
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= FEW  # 56 bytes each
     match = (F.col("th") == F.col("_th")) & F.col(id_column).eqNullSafe(F.col("_id"))
-    found = rows.join(F.broadcast(needed) if few else needed, match).select("nid", "node", "text")
-    # no hint: the texts have no bound
-    dealt = buckets.join(found, "nid").select(F.col("bucket").alias("token"), "i", "j", "q", "node", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def bucket(nodes: list[bytes], held: list[str], q: list[int], split: bool) -> Iterator[tuple]:
-        sets = shingle_sets(held, size)
-        first = {}
-        for k, own in enumerate(sets):
-            if digest(own) == nodes[k]:
-                first.setdefault(nodes[k], k)  # repeated rows
-        order = sorted(first.values(), key=lambda k: len(sets[k]))
-        side = np.array([q[k] for k in order]) if split else None
-        for x, y in forest([sets[k] for k in order], percent, side):
-            yield nodes[order[x]], nodes[order[y]]
+    own = rows.select(F.col(id_column), "th", *columns)
+    return own.join(F.broadcast(wanted) if few else wanted, match).select("nid", F.col("node"), *columns)
+
+
+def _in_tasks(dealt: DataFrame, found: DataFrame, columns: list[str], search, kind: str) -> DataFrame:
+    """Pairs ``(a, b)`` that ``search(rows, split)`` finds in each task, read as a stream of sorted rows."""
+    # no hint: what is found has no bound
+    both = dealt.join(found, "nid").select("bucket", "i", "j", "q", *columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    schema = pa.schema([("a", pa.binary() if kind == "binary" else pa.int64()), ("b", pa.binary() if kind == "binary" else pa.int64())])
 
     def run(it):
-        def rows_of():
-            last, nodes, held, q = None, [], [], []
+        def pairs():
+            last, held = None, []
             for b in it:
-                for token, i, j, k, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (token, i, j) != last:
-                        if len(nodes) > 1:
-                            yield from bucket(nodes, held, q, last[1] != last[2])
-                        last, nodes, held, q = (token, i, j), [], [], []
-                    nodes.append(node)
-                    held.append(text)
-                    q.append(k)
-            if len(nodes) > 1:
-                yield from bucket(nodes, held, q, last[1] != last[2])
+                for bucket, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (bucket, i, j) != last:
+                        if len(held) > 1:
+                            yield from search(held, last[1] != last[2])
+                        last, held = (bucket, i, j), []
+                    held.append(row)
+            if len(held) > 1:
+                yield from search(held, last[1] != last[2])
+
+        yield from batches(pairs(), schema)
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
-        yield from batches(rows_of(), schema)
 
-    return written(dealt.mapInArrow(run, "a binary, b binary").distinct(), "links")
+def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, size: int, id_column: str) -> DataFrame:
+    """Rows ``(a, b)``: links between classes that connect all that links connect."""
+    groups = _groups(signed.select("nid", "n", "prefix"), percent)
+    short = F.concat(F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")), F.col("more"))
+    prefixes = _first_rows(signed.drop("nid", "node").withColumn("short", short), classes, groups, id_column, ["n", "short"])
+
+    def may_link(held: list[list], split: bool):
+        held.sort(key=lambda r: r[2])
+        raw = [np.array(r[3], np.int32) for r in held]
+        sets = [np.unique(x) for x in raw]
+        lost = np.array([len(x) - len(s) for x, s in zip(raw, sets, strict=True)])
+        side = np.array([r[0] for r in held]) if split else None
+        for x, y in candidates(sets, lost, np.array([r[2] for r in held], np.int64), percent, side):
+            if held[x][1] != held[y][1]:
+                yield held[x][1], held[y][1]
+
+    near = written(_in_tasks(_dealt(groups), prefixes, ["nid", "n", "short"], may_link, "long"), "near")
+    buckets = components(near).select(F.col("label").alias("bucket"), F.col("node").alias("nid")).join(classes.select("nid", "n").groupBy("nid").agg(F.max("n").alias("n")), "nid")
+    buckets = written(buckets, "buckets")
+    found = _first_rows(rows, classes, buckets, id_column, ["text"])
+
+    def do_link(held: list[list], split: bool):
+        sets, first = shingle_sets([r[2] for r in held], size), {}
+        for k, s in enumerate(sets):
+            if digest(s) == held[k][1]:
+                first.setdefault(held[k][1], k)  # repeated rows
+        order = sorted(first.values(), key=lambda k: len(sets[k]))
+        side = np.array([held[k][0] for k in order]) if split else None
+        for x, y in links([sets[k] for k in order], percent, side):
+            yield held[order[x]][1], held[order[y]][1]
+
+    return written(_in_tasks(_dealt(buckets), found, ["node", "text"], do_link, "binary"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label`` for every node of ``links (a, b)``: the least node that it is connected with."""
-    edges = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+def components(pairs: DataFrame) -> DataFrame:
+    """``node, label`` for every node of ``pairs (a, b)``: the least node that it is connected with."""
+    edges = written(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
@@ -198,9 +221,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = _signed(rows, size, percent, id_column)
     who = F.struct(F.col(id_column).alias("_id"), F.col("th").alias("_th"))
-    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("least"), F.min(who).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("least"), F.min(who).alias("first"), F.max("n").alias("n"))
     classes = written(classes.withColumn("nid", F.xxhash64("node")), "classes")
-    labels = components(_links(rows, classes, size, percent, id_column))
+    named_rows = signed.filter("node IS NOT NULL").withColumn("nid", F.xxhash64("node"))
+    labels = components(_links(rows, named_rows, classes, percent, size, id_column))
     named = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(whole, "component").select("node", "component", "component_id")

@@ -110,15 +110,25 @@ def divide_skip(lists: list[np.ndarray], need: int, wanted, mu: float = 0.0085)
     return members, counts
 
 
-def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links among ``sets`` connect: 100 * intersection >= percent * union.
+def least_common(a, b, percent: int):
+    """Shingles that linked sets of ``a`` and ``b`` shingles share at least."""
+    return -(-percent * (a + b) // (100 + percent))
 
-    Each set searches the sets before it; those that it is already connected with are not looked at.
-    ``side``: only pairs of unequal sides count.
+
+def spare(n, percent: int):
+    """How much longer than needed a prefix is kept, so that candidates must share that many more."""
+    return n * (100 - percent) // 400
+
+
+def forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, accept, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect what all accepted pairs among ``sets`` connect.
+
+    ``sizes``, ascending, are those of the whole sets. Each set searches the sets before it for members that
+    share ``need(x)`` with it; those that it is already connected with are not looked at. ``accept(x, y, n)``
+    decides for ``n`` shared. ``side``: only pairs of unequal sides count.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     values = np.concatenate(sets) if n else np.empty(0, np.uint64)
     order = np.argsort(values, kind="stable")  # owners stay ascending within a value
     values, owner = values[order], owner[order]
@@ -132,19 +142,43 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             break
         at = np.searchsorted(tokens, sets[x])
         at = at[shared[at]]
-        need = least_overlap(int(sizes[x]), percent)
-        if len(at) < need:
+        least = max(1, need(x))
+        if len(at) < least:
             continue
         lists = [owner[starts[k] : ends[k]] for k in at]
 
         def wanted(members, x=x):
-            keep = (members < x) & (group[members] != group[x]) & (100 * sizes[members] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[members])
+            keep = (members < x) & (group[members] != group[x]) & (100 * sizes[members] >= percent * sizes[x])
             return keep if side is None else keep & (side[members] != side[x])
 
-        members, counts = divide_skip(lists, need, wanted)
+        members, counts = divide_skip(lists, least, wanted)
         for y, i in zip(members.tolist(), counts.tolist(), strict=True):
-            if group[y] != group[x] and 100 * i >= percent * (sizes[x] + sizes[y] - i):
+            if group[y] != group[x] and accept(x, y, i):
                 links.append((x, y))
                 group[group == group[y]] = group[x]
                 groups -= 1
     return links
+
+
+def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (100 * intersection >= percent * union) among whole sets, shortest first."""
+    n = np.array([len(s) for s in sets], np.int64)
+    return forest(sets, n, percent, lambda x: least_overlap(int(n[x]), percent), lambda x, y, i: 100 * i >= percent * (n[x] + n[y] - i), side)
+
+
+def candidates(prefixes: list[np.ndarray], lost: np.ndarray, sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that may link, by their prefixes alone; shortest first.
+
+    If two sets share T shingles, prefixes of ``n - T + l`` share ``l`` of them. Those here are longer than
+    ``n - ceil(t * n) + 1`` by ``spare``. ``lost`` counts what each prefix lacks because values coincide.
+    """
+    n, extra, least = sizes.tolist(), spare(sizes, percent).tolist(), [least_overlap(int(k), percent) for k in sizes]
+
+    def need(x):
+        return 1 + min(extra[x], int(spare(least[x], percent))) - int(lost[x])
+
+    def accept(x, y, i):
+        t = least_common(n[x], n[y], percent)
+        return i + min(lost[x], lost[y]) >= 1 + min(extra[x] + t - least[x], extra[y] + t - least[y])
+
+    return forest(prefixes, sizes, percent, need, accept, side)
