@@ -8,7 +8,7 @@ import math
 import numpy as np
 import xxhash
 
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _known: dict[bytes, int] = {}
 
 
