@@ -13,8 +13,9 @@
    In each group a T-occurrence search (DivideSkip, see ``shingles``) over the prefixes finds candidates. This
    looks at a tenth or a fifth of a text in 32-bit values and clears nearly all that one passage has brought
    together. Only pairs that connect something are put out.
-5. Classes that candidates connect form a bucket. There the same search over the whole sets finds links, at
-   most one per class.
+5. Classes that candidates connect form a bucket. There the same search over the whole sets finds links. For
+   components alone, links that connect are enough, at most one per class; where links are counted, every link
+   is verified and added up in its task, so that rows stay in proportion to classes and not to links.
 6. A group or bucket beyond ``BUCKET`` classes or ``BUCKET_SHINGLES`` shingles is dealt into chunks and every
    two chunks meet in a task of their own, so no task holds one of any size and no pair is lost.
 7. Components by least label with pointer jumping; each round is a written table.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, texts, written
-from .shingles import candidates, digest, least_overlap, links, shingle_sets, spare
+from .shingles import candidates, counted_links, digest, least_overlap, links, shingle_sets, spare
 
 SKETCH_BITS = 21
 _BLOCK = 1 << 14
@@ -128,20 +129,21 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _first_rows(rows: DataFrame, classes: DataFrame, members: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """``nid, node`` and ``columns`` of one row of ``rows`` for each class in ``members``."""
-    wanted = classes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "node", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"))
+    """``nid, node, m`` and ``columns`` of one row of ``rows`` for each class in ``members``."""
+    wanted = classes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "node", "m", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"))
     wanted = written(wanted, "wanted")
-    few = wanted.count() <= FEW  # 56 bytes each
+    few = wanted.count() <= FEW  # 64 bytes each
     match = (F.col("th") == F.col("_th")) & F.col(id_column).eqNullSafe(F.col("_id"))
     own = rows.select(F.col(id_column), "th", *columns)
-    return own.join(F.broadcast(wanted) if few else wanted, match).select("nid", F.col("node"), *columns)
+    return own.join(F.broadcast(wanted) if few else wanted, match).select("nid", F.col("node"), "m", *columns)
 
 
 def _in_tasks(dealt: DataFrame, found: DataFrame, columns: list[str], search, kind: str) -> DataFrame:
-    """Pairs ``(a, b)`` that ``search(rows, split)`` finds in each task, read as a stream of sorted rows."""
+    """Pairs ``(a, b)`` that ``search(rows, split)`` finds in each task, read as a stream of sorted rows; ``n`` is summed."""
     # no hint: what is found has no bound
     both = dealt.join(found, "nid").select("bucket", "i", "j", "q", *columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    schema = pa.schema([("a", pa.binary() if kind == "binary" else pa.int64()), ("b", pa.binary() if kind == "binary" else pa.int64())])
+    own = pa.binary() if kind == "binary" else pa.int64()
+    schema = pa.schema([("a", own), ("b", own), ("n", pa.int64())])
 
     def run(it):
         def pairs():
@@ -158,11 +160,14 @@ def _in_tasks(dealt: DataFrame, found: DataFrame, columns: list[str], search, ki
 
         yield from batches(pairs(), schema)
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(run, f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, size: int, id_column: str) -> DataFrame:
-    """Rows ``(a, b)``: links between classes that connect all that links connect."""
+def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, size: int, id_column: str, counted: bool) -> DataFrame:
+    """Rows ``(a, b, n)``: links between classes that connect all that links connect.
+
+    If ``counted``, also ``(a, a, n)``: the documents of other classes that those of ``a`` link with, if any.
+    """
     groups = _groups(signed.select("nid", "n", "prefix"), percent)
     short = F.concat(F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")), F.col("more"))
     prefixes = _first_rows(signed.drop("nid", "node").withColumn("short", short), classes, groups, id_column, ["n", "short"])
@@ -175,7 +180,7 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int,
         side = np.array([r[0] for r in held]) if split else None
         for x, y in candidates(sets, lost, np.array([r[2] for r in held], np.int64), percent, side):
             if held[x][1] != held[y][1]:
-                yield held[x][1], held[y][1]
+                yield held[x][1], held[y][1], 0
 
     near = written(_in_tasks(_dealt(groups), prefixes, ["nid", "n", "short"], may_link, "long"), "near")
     buckets = components(near).select(F.col("label").alias("bucket"), F.col("node").alias("nid")).join(classes.select("nid", "n").groupBy("nid").agg(F.max("n").alias("n")), "nid")
@@ -183,16 +188,22 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int,
     found = _first_rows(rows, classes, buckets, id_column, ["text"])
 
     def do_link(held: list[list], split: bool):
-        sets, first = shingle_sets([r[2] for r in held], size), {}
+        sets, first = shingle_sets([r[3] for r in held], size), {}
         for k, s in enumerate(sets):
             if digest(s) == held[k][1]:
                 first.setdefault(held[k][1], k)  # repeated rows
         order = sorted(first.values(), key=lambda k: len(sets[k]))
         side = np.array([held[k][0] for k in order]) if split else None
-        for x, y in links([sets[k] for k in order], percent, side):
-            yield held[order[x]][1], held[order[y]][1]
+        sets = [sets[k] for k in order]
+        if counted:
+            pairs, total = counted_links(sets, np.array([held[k][2] for k in order], np.int64), percent, side)
+            yield from ((held[k][1], held[k][1], n) for k, n in zip(order, total.tolist(), strict=True) if n)
+        else:
+            pairs = links(sets, percent, side)
+        for x, y in pairs:
+            yield held[order[x]][1], held[order[y]][1], 0
 
-    return written(_in_tasks(_dealt(buckets), found, ["node", "text"], do_link, "binary"), "links")
+    return written(_in_tasks(_dealt(buckets), found, ["node", "m", "text"], do_link, "binary"), "links")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -209,9 +220,11 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = written(step.join(up, F.col("label") == F.col("p"), "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id", counted: bool = False) -> DataFrame:
     """One row per document: id, ``th`` (xxhash64 of the text, null as empty), ``n_shingles``, ``component`` and ``component_id``.
 
+    If ``counted``, also ``n_links``: the other documents that it links with, those of equal sets among them.
+
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``size``-word shingles.
     ``component`` names the set of linked documents, ``component_id`` is its smallest id. A null, empty or
     blank text has no shingle, no component, and its own id. Rows with a null id take part; a component of
@@ -220,16 +233,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = _signed(rows, size, percent, id_column)
     who = F.struct(F.col(id_column).alias("_id"), F.col("th").alias("_th"))
-    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("least"), F.min(who).alias("first"), F.max("n").alias("n"))
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(id_column).alias("least"), F.min(who).alias("first"), F.max("n").alias("n"), F.count("*").alias("m"))
     classes = written(classes.withColumn("nid", F.xxhash64("node")), "classes")
     named_rows = signed.filter("node IS NOT NULL").withColumn("nid", F.xxhash64("node"))
-    labels = components(_links(rows, named_rows, classes, percent, size, id_column))
+    found = _links(rows, named_rows, classes, percent, size, id_column, counted)
+    labels = components(found.filter("a <> b"))
     named = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(whole, "component").select("node", "component", "component_id")
-    own = signed.select(id_column, "th", F.col("n").alias("n_shingles"), "node")
+    own, more = signed.select(id_column, "th", F.col("n").alias("n_shingles"), "node"), []
+    if counted:
+        others = found.filter("a = b").select(F.col("a").alias("node"), F.col("n").alias("others"))
+        n_links = classes.select("node", "m").join(others, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        named, more = named.join(n_links, "node"), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = own.join(named, "node", "left")
-    return out.select(id_column, "th", "n_shingles", "component", F.when(F.col("component").isNull(), F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(id_column, "th", "n_shingles", "component", F.when(F.col("component").isNull(), F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -120,12 +120,11 @@ def spare(n, percent: int):
     return n * (100 - percent) // 400
 
 
-def forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, accept, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs that connect what all accepted pairs among ``sets`` connect.
+def _search(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, open_to, side: np.ndarray | None = None):
+    """``x, members, counts`` of the sets before each set that share ``need(x)`` with it.
 
-    ``sizes``, ascending, are those of the whole sets. Each set searches the sets before it for members that
-    share ``need(x)`` with it; those that it is already connected with are not looked at. ``accept(x, y, n)``
-    decides for ``n`` shared. ``side``: only pairs of unequal sides count.
+    ``sizes``, ascending, are those of the whole sets. ``open_to(x, members)``: which members are of interest.
+    ``side``: only pairs of unequal sides count.
     """
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -136,10 +135,7 @@ def forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, accept
     ends = np.r_[starts[1:], len(values)] if len(values) else starts
     tokens = values[starts] if len(values) else values
     shared = ends - starts > 1
-    group, links, groups = np.arange(n), [], n
     for x in range(1, n):
-        if groups == 1:
-            break
         at = np.searchsorted(tokens, sets[x])
         at = at[shared[at]]
         least = max(1, need(x))
@@ -148,20 +144,45 @@ def forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, accept
         lists = [owner[starts[k] : ends[k]] for k in at]
 
         def wanted(members, x=x):
-            keep = (members < x) & (group[members] != group[x]) & (100 * sizes[members] >= percent * sizes[x])
+            keep = (members < x) & open_to(x, members) & (100 * sizes[members] >= percent * sizes[x])
             return keep if side is None else keep & (side[members] != side[x])
 
-        members, counts = divide_skip(lists, least, wanted)
+        yield x, *divide_skip(lists, least, wanted)
+
+
+def forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, accept, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect what all accepted pairs among ``sets`` connect.
+
+    Members that a set is already connected with are not looked at. ``accept(x, y, n)`` decides for ``n`` shared.
+    """
+    group, links, groups = np.arange(len(sets)), [], len(sets)
+    for x, members, counts in _search(sets, sizes, percent, need, lambda x, members: group[members] != group[x], side):
         for y, i in zip(members.tolist(), counts.tolist(), strict=True):
             if group[y] != group[x] and accept(x, y, i):
                 links.append((x, y))
                 group[group == group[y]] = group[x]
                 groups -= 1
+        if groups == 1:
+            break
     return links
 
 
+def counted_links(sets: list[np.ndarray], weights: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Every link among whole sets, shortest first: pairs that connect all of them, and for each set the ``weights`` it links with."""
+    n, total = np.array([len(s) for s in sets], np.int64), np.zeros(len(sets), np.int64)
+    group, pairs = np.arange(len(sets)), []
+    for x, members, counts in _search(sets, n, percent, lambda x: least_overlap(int(n[x]), percent), lambda x, members: np.ones(len(members), bool), side):
+        linked = members[100 * counts >= percent * (n[x] + n[members] - counts)]
+        total[x] += weights[linked].sum()
+        total[linked] += weights[x]
+        while len(apart := linked[group[linked] != group[x]]):
+            pairs.append((x, int(apart[0])))
+            group[group == group[apart[0]]] = group[x]
+    return pairs, total
+
+
 def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (100 * intersection >= percent * union) among whole sets, shortest first."""
+    """Links (100 * intersection >= percent * union) among whole sets that connect what all of them do, shortest first."""
     n = np.array([len(s) for s in sets], np.int64)
     return forest(sets, n, percent, lambda x: least_overlap(int(n[x]), percent), lambda x, y, i: 100 * i >= percent * (n[x] + n[y] - i), side)
 

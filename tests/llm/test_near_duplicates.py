@@ -36,6 +36,35 @@ def test_components_equal_brute_force(spark, monkeypatch, size, percent, bucket)
     assert len({c for _, _, c in want}) < len(want)
 
 
+def brute_links(docs, size, percent):
+    sets = brute.shingle_sets(docs, size)
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return [(d, sum(linked(sets[i], other) for j, other in enumerate(sets) if j != i)) for i, (d, _) in enumerate(docs)]
+
+
+@pytest.mark.parametrize("bucket", [1024, 4])
+def test_every_link_is_counted(spark, monkeypatch, bucket):
+    monkeypatch.setattr(nd, "BUCKET", bucket)
+    docs = brute.awkward(spark, near_copies(5))
+    texts = brute.documents(docs)
+    found = nd.near_duplicates(docs, 5, 80, counted=True)
+    want = brute_links(texts, 5, 80)
+    assert sorted(((r.doc_id, r.n_links) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert got(found) == sorted(brute.components(texts, 5, 80), key=str)
+    assert sum(n for _, n in want) > 4 * len(want)  # far more than a forest has
+
+
+def test_links_query_equals_its_oracle(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.execute(registry.ORACLES["op2_ngram_jaccard_links"])
+    df = registry.QUERIES["op2_ngram_jaccard_links"](spark, sf_dir)
+    assert df.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
 def test_query_on_documents(spark, sf_dir):
     docs = brute.documents(registry.table(spark, sf_dir, "documents"))
     assert got(registry.QUERIES["op2_ngram_jaccard_join"](spark, sf_dir)) == sorted(brute.components(docs, 3, 90), key=str)
