@@ -287,6 +287,13 @@ def terms_agg(spark: SparkSession, d: str) -> DataFrame:
     return Q.aggregate(base, body, None, "s")
 
 
+@query("SELECT o_orderstatus AS key, count(*) AS doc_count, sum(o_orderkey) AS keys FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
+def terms_agg_all(spark: SparkSession, d: str) -> DataFrame:
+    """``terms_agg`` over every customer's orders."""
+    body = {"aggs": {"s": {"terms": {"field": "o_orderstatus", "size": 2}, "aggs": {"keys": {"sum": {"field": "o_orderkey"}}}}}}
+    return Q.aggregate(documents(spark, d), body, None, "s")
+
+
 @query("SELECT o_orderpriority AS key, o_orderstatus AS key2, count(*) AS doc_count, max(o_totalprice) AS best FROM orders GROUP BY 1, 2")
 def nested_terms(spark: SparkSession, d: str) -> DataFrame:
     body = {"aggs": {"p": {"terms": {"field": "o_orderpriority"}, "aggs": {"s": {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"max": {"field": "o_totalprice"}}}}}}}}

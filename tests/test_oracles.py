@@ -46,3 +46,8 @@ def test_query_equals_its_oracle(spark, sf_dir, duck, name):
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_terms_cover_every_order(spark, sf_dir, duck):
+    n = duck.execute("SELECT count(*) AS n FROM orders GROUP BY o_orderstatus ORDER BY n DESC LIMIT 2").fetchall()
+    assert sum(r.doc_count for r in registry.QUERIES["terms_agg_all"](spark, sf_dir).collect()) == sum(x for x, in n)
