@@ -5,10 +5,11 @@ positions are running sums of their lengths. Each pattern runs only on texts whe
 it can match.
 
 Entropy: a candidate is a run of 20 or more characters of the base64 alphabets with a letter and a digit.
-Its class is ``hex`` if it has hexadecimal digits alone, else ``base64``. A window of ``WINDOW`` characters
-slides over it; the counts and the sum of c*log2(c) are updated by the character that enters and the one
-that leaves. A candidate is reported when a window's entropy reaches the class's threshold, no allow-list
-pattern matches it and no base span overlaps it.
+What an allow-list pattern matches or a base span overlaps is cut out of it; each part left is judged by
+itself, if it still is a candidate. Its class is ``hex`` if it has hexadecimal digits alone, ``lower`` or
+``upper`` (base32) if it has letters of one case and digits alone, else ``base64``. A window of ``WINDOW``
+characters slides over it; the counts and the sum of c*log2(c) are updated by the character that enters and
+the one that leaves. A part is reported when a window's entropy reaches the class's threshold.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-THRESHOLD = {"hex": 3.0, "base64": 3.7}
+THRESHOLD = {"hex": 3.0, "lower": 3.4, "upper": 3.4, "base64": 3.7}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Values that look random and are none: identifiers, placeholders, rows of the alphabet.
 ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|changeme|dummy", r"(?i)abcdefgh|qwertyui", r"01234567|12345678", r"(.)\1{7}")
@@ -86,16 +87,36 @@ def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, threshold: di
 
 
 def _added(base: Column, candidates: Column, text: Column, allowed: tuple[str, ...], threshold: dict[str, float]) -> Column:
+    def of(x):
+        return F.substring(text, x["start"] + 1, x["stop"] - x["start"])
+
+    def span(start, stop):
+        return F.struct(start.cast("int").alias("start"), F.lit(3).alias("kind"), stop.cast("int").alias("stop"))
+
+    def parts(x):
+        s = of(x)
+        own = [_guarded(s, s.rlike(p), _spans(s, p, 3)) for p in allowed]
+        moved = F.transform(F.concat(*own), lambda b: span(b["start"] + x["start"], b["stop"] + x["start"])) if own else F.array().cast(_NONE)
+        over = F.filter(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+        zero = F.struct(x["start"].alias("at"), F.array().cast(_NONE).alias("out"))
+
+        def step(a, b):
+            gap = F.array(span(a["at"], b["start"]))
+            return F.struct(F.greatest(a["at"], b["stop"]).alias("at"), F.when(b["start"] - a["at"] >= WINDOW, F.concat(a["out"], gap)).otherwise(a["out"]).alias("out"))
+
+        cuts = F.concat(F.array_sort(F.concat(moved, over)), F.array(span(x["stop"], x["stop"])))
+        return F.aggregate(cuts, zero, step)["out"]
+
+    def mixed(x):
+        return of(x).rlike("[0-9]") & of(x).rlike("[A-Za-z]")
+
     def keep(x):
-        s = F.substring(text, x["start"] + 1, x["stop"] - x["start"])
-        bad = F.lit(False)
-        for pattern in allowed:
-            bad = bad | s.rlike(pattern)
-        apart = ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        least = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(threshold["hex"])).otherwise(F.lit(threshold["base64"]))
-        return F.when(~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]") | bad, F.lit(False)).otherwise(apart & (peak_entropy(s) >= least))
-
-    return F.filter(candidates, keep)
+        s, least = of(x), F.lit(threshold["base64"])
+        for name, pattern in (("upper", "^[A-Z0-9]+=*$"), ("lower", "^[a-z0-9]+$"), ("hex", "^[0-9a-fA-F]+$")):
+            least = F.when(s.rlike(pattern), F.lit(threshold.get(name, threshold["base64"]))).otherwise(least)
+        return F.when(mixed(x), peak_entropy(s) >= least).otherwise(F.lit(False))
+
+    return F.filter(F.flatten(F.transform(F.filter(candidates, mixed), parts)), keep)
 
 
 def with_spans(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED, threshold: dict[str, float] | None = None) -> DataFrame:
