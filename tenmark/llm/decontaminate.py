@@ -54,9 +54,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str =
 
     Returns ``id, th, intervals, items``: the text's hash, the sorted ``(start, stop)`` word positions of
     the occurrences and the sorted item ids as strings. Documents and items that are null, empty or have no
-    word match nothing. An empty benchmark gives no row.
+    word match nothing. An item without an id matches and is not among the ids. An empty benchmark gives no row.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), normal(F.col(item_text)).alias("words")).filter("words <> '' AND item IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), normal(F.col(item_text)).alias("words")).filter("words <> ''")
     items = items.select("item", F.split("words", " ").alias("words")).withColumn("size", F.least(F.size("words"), F.lit(size))).transform(lambda d: written(d, "items"))
     found = items.groupBy("size").agg(F.sum(F.size("words")).alias("n")).collect()  # at most ``size`` rows
     sizes = sorted(r["size"] for r in found)
