@@ -120,6 +120,12 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc
     )
     dups = written(_dups(rows.select(F.col("fingerprint").alias("h")).unionAll(rows.filter("s <> es").select(F.col("edited_fingerprint").alias("h")))), "dups")
     again = base.select(canonical(F.col("text")).alias("canon")).select(wide_hash(F.col("canon")).alias("h"), "canon")
+    # edited forms are compared by SHA-512; their bytes are made again only for buckets in which it differs
+    forms = rows.select(F.col("fingerprint").alias("h"), "s").unionAll(rows.select(F.col("edited_fingerprint").alias("h"), F.col("es").alias("s")))
+    differ = written(_within(forms, dups).groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("h"), "differ")
+    if not differ.isEmpty():
+        edits = pairs.select(wide_hash(F.col("e")).alias("h"), F.col("e").alias("canon"))
+        again = again.unionAll(_within(edits, differ))
     done = compared(rows, [("fingerprint", "s"), ("edited_fingerprint", "es")], _within(again, dups))
     like = lambda a, b: F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
     return done.select(id_column, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), like(F.col("s"), F.col("x")).alias("near_next"))
