@@ -75,12 +75,13 @@ class _Lengths:
 
     def pair(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
         """Two lengths that sum to ``gap``, the most uneven first."""
+        left = self.left
+        if held:
+            left = left.copy()
+            np.subtract.at(left, list(held), 1)
         low = np.arange(1, gap // 2 + 1)
-        fits = low[(self.left[low] > 0) & (self.left[gap - low] > 0)]
-        for a in fits[:8]:
-            if self._enough(found := (gap - int(a), int(a)), held):
-                return found
-        return ()
+        fits = low[(left[low] > 0) & (left[gap - low] > (2 * low == gap))]
+        return (gap - int(fits[0]), int(fits[0])) if len(fits) else ()
 
     def complement(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
         """One, two or three lengths that are left and sum to ``gap`` exactly, or none."""
