@@ -1,63 +1,60 @@
 """Layered settings: file, then environment, then flags, each over the one before.
 
-A file has ``key = value`` lines; ``[section]`` puts its name and an underscore before the keys that follow,
-where that is a known setting. An empty value is no value. An unknown key is an error wherever it stands.
+The standard library reads both forms: a file is one for ``configparser``, with keys before the first section
+allowed, and flags are options of ``argparse``. A key in ``[section]`` is the setting ``section_key`` where
+there is one, else ``key``. An empty value is no value. An unknown key is an error wherever it stands.
 """
 
 from __future__ import annotations
 
+import argparse
+import configparser
+import textwrap
 from collections.abc import Iterable, Mapping
 
+_TOP = "settings before any section"
+
 
 class BadSetting(ValueError):
     """An unknown key, or a value of the wrong form."""
 
 
+class _Flags(argparse.ArgumentParser):
+    def error(self, message):
+        raise BadSetting(message)
+
+
 class Settings:
     """Settings by name, of a fixed list of names."""
 
     def __init__(self, names: Iterable[str], prefix: str = "TENMARK_"):
         self.names, self.prefix, self.values = frozenset(names), prefix, {}
 
-    def _put(self, key: str, value: str, section: str = "") -> None:
-        full = f"{section}_{key}" if section and f"{section}_{key}" in self.names else key
-        if full not in self.names:
-            raise BadSetting(f"unknown setting {key}")
-        if value:
-            self.values[full] = value
+    def _layer(self, found: Mapping[str, str | None]) -> Settings:
+        if unknown := sorted(set(found) - self.names):
+            raise BadSetting(f"unknown settings: {', '.join(unknown)}")
+        self.values.update({k: v for k, v in found.items() if v})
+        return self
 
     def file(self, text: str) -> Settings:
-        section = ""
-        for number, line in enumerate(text.splitlines(), 1):
-            line = line.strip()
-            if not line or line.startswith("#"):
-                continue
-            if line[0] == "[" and line[-1] == "]":
-                section = line[1:-1].strip()
-                continue
-            key, found, value = line.partition("=")
-            if not found:
-                raise BadSetting(f"line {number} is no setting")
-            self._put(key.strip(), unquoted(value.strip()), section)
-        return self
+        parser = configparser.ConfigParser(delimiters=("=",), comment_prefixes=("#",), default_section="", interpolation=None, strict=False)
+        parser.optionxform = str
+        flat = "\n".join(map(str.strip, textwrap.dedent(text).splitlines()))  # indented lines are settings too
+        try:
+            parser.read_string(f"[{_TOP}]\n{flat}")
+        except configparser.Error as e:
+            raise BadSetting(str(e)) from e
+        qualified = {(section, key): f"{section}_{key}" for section in parser.sections() for key in parser[section]}
+        return self._layer({name if name in self.names else key: unquoted(parser[section][key]) for (section, key), name in qualified.items()})
 
     def environment(self, env: Mapping[str, str]) -> Settings:
-        for name in self.names:
-            self._put(name, env.get(self.prefix + name.upper(), ""))
-        return self
+        return self._layer({name: env.get(self.prefix + name.upper()) for name in self.names})
 
     def flags(self, args: Iterable[str]) -> Settings:
-        rest = iter(args)
-        for arg in rest:
-            if not arg.startswith("--"):
-                raise BadSetting(f"unexpected argument {arg}")
-            name, found, value = arg[2:].partition("=")
-            if not found:
-                value = next(rest, None)
-                if value is None:
-                    raise BadSetting(f"--{name} needs a value")
-            self._put(name.replace("-", "_"), value)
-        return self
+        options = _Flags(add_help=False, allow_abbrev=False, argument_default=argparse.SUPPRESS)
+        for name in sorted(self.names):
+            options.add_argument(*dict.fromkeys((f"--{name}", f"--{name.replace('_', '-')}")), dest=name)
+        return self._layer(vars(options.parse_args(list(args))))
 
     def flag(self, name: str, default: bool = False) -> bool:
         value = self.values.get(name)
