@@ -4,15 +4,21 @@ Tenancy is a property of the base: the planner filters to the partition's placem
 then applies what the client asked. Client predicates are built-in expressions alone, so nothing of theirs
 can observe a row that the filter has not let through. What cannot be isolated is rejected before a plan
 exists.
+
+Values are made literals of their field's type before a plan exists, and a conjunct may be null, which matches
+nothing as false does. So tenant and client predicates on stored columns reach the scan as pushed filters.
 """
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SIZE = 10
 
@@ -54,90 +60,163 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def predicate(query: dict | None, columns: list[str]) -> Column:
-    """A query as a boolean column; absent is everything. Null fields match nothing."""
+def typed(value: Any, kind: T.DataType) -> Column | None:
+    """A literal of a field's type; None if no value of that type can equal it, ``Rejected`` if it is ill-typed."""
+    if value is None or isinstance(value, (dict, list)):
+        raise Rejected("a value is a text, a number or a boolean")
+    bad = Rejected(f"{value!r} is no {kind.simpleString()}")
+    if isinstance(kind, T.StringType):
+        return F.lit(value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value))
+    if isinstance(kind, T.BooleanType):
+        if value in (True, "true") or value in (False, "false"):
+            return F.lit(value in (True, "true"))
+        raise bad
+    if isinstance(value, bool):
+        raise bad
+    try:
+        if isinstance(kind, T.IntegralType):
+            number = Decimal(str(value))
+            if not number.is_finite():
+                raise bad
+            bits = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[kind.simpleString()]
+            if number != int(number) or not -(1 << bits) <= number < 1 << bits:
+                return None
+            return F.lit(int(number)).cast(kind)
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            return F.lit(float(value)).cast(kind)
+        if isinstance(kind, T.DecimalType):
+            number = Decimal(str(value))
+            if not number.is_finite():
+                raise bad
+            return F.lit(number)
+        if isinstance(kind, T.DateType):
+            return F.lit(datetime.date.fromisoformat(value))
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.lit(datetime.datetime.fromisoformat(value)).cast(kind)
+    except (ValueError, TypeError, InvalidOperation) as e:
+        raise bad from e
+    raise Rejected(f"a {kind.simpleString()} cannot be compared")
+
+
+def _bounds(own: Column, kind: T.DataType, value: dict) -> list[Column]:
+    unknown = set(value) - {"gt", "gte", "lt", "lte"}
+    if unknown:
+        raise Rejected(f"unknown range bound {sorted(unknown)}")
+    out = []
+    for k, v in value.items():
+        if isinstance(kind, T.IntegralType) and not isinstance(v, bool) and typed(v, kind) is None:
+            own, bound = own.cast("decimal(38,10)"), F.lit(Decimal(str(v)))  # a fraction, or beyond the type
+        else:
+            bound = typed(v, kind)
+        out.append({"gt": own.__gt__, "gte": own.__ge__, "lt": own.__lt__, "lte": own.__le__}[k](bound))
+    return out
+
+
+def predicate(query: dict | None, schema: T.StructType) -> Column:
+    """A query as a boolean column; absent is everything. A row matches where it is true; null fields give null or false."""
     if not query:
         return F.lit(True)
 
-    def field(name: str) -> Column:
+    def field(name: str) -> tuple[Column, T.DataType]:
         name = name.removesuffix(".keyword")
-        return F.col(name) if name in columns else F.lit(None)
+        return (F.col(name), schema[name].dataType) if name in schema.names else (F.lit(None).cast("string"), T.StringType())
 
     kind, arg = _single(query)
     if kind == "match_all":
         return F.lit(True)
+    if not isinstance(arg, dict):
+        raise Rejected(f"{kind} has no body")
     if kind == "bool":
         unknown = set(arg) - {"must", "filter", "should", "must_not", "minimum_should_match"}
         if unknown:
             raise Rejected(f"unknown bool clause {sorted(unknown)}")
-        every = [predicate(q, columns) for k in ("must", "filter") for q in _list(arg.get(k, []))]
-        never = [~predicate(q, columns) for q in _list(arg.get("must_not", []))]
-        should = [predicate(q, columns) for q in _list(arg.get("should", []))]
+        sure = lambda q: F.coalesce(predicate(q, schema), F.lit(False))
+        every = [predicate(q, schema) for k in ("must", "filter") for q in _list(arg.get(k, []))]
+        should = _list(arg.get("should", []))
         least = int(arg.get("minimum_should_match", 0 if every else 1)) if should else 0
         if least == 1:
-            every.append(reduce(lambda a, b: a | b, should))
+            every.append(reduce(lambda a, b: a | b, (predicate(q, schema) for q in should)))
         elif least > 1:
-            every.append(reduce(lambda a, b: a + b, (s.cast("int") for s in should)) >= least)
-        return reduce(lambda a, b: a & b, [*every, *never], F.lit(True))
+            every.append(reduce(lambda a, b: a + b, (sure(q).cast("int") for q in should)) >= least)
+        elif least == 0:
+            for q in should:
+                predicate(q, schema)  # has no effect, but must be one
+        every += [~sure(q) for q in _list(arg.get("must_not", []))]
+        return reduce(lambda a, b: a & b, every) if every else F.lit(True)
     if kind == "ids":
-        return F.coalesce(F.col("_id").isin(arg["values"]), F.lit(False))
+        return F.col("_id").isin(list(map(str, arg["values"])))
     if kind == "exists":
-        return field(arg["field"]).isNotNull()
+        return field(arg["field"])[0].isNotNull()
     name, value = _single(arg)
-    own = field(name)
+    own, of = field(name)
+    if kind in ("term", "prefix") and isinstance(value, dict):
+        value = value.get("value")
     if kind == "term":
-        found = own == F.lit(value["value"] if isinstance(value, dict) else value)
-    elif kind == "terms":
-        found = own.isin(value)
-    elif kind == "prefix":
-        found = own.startswith(value["value"] if isinstance(value, dict) else value)
-    elif kind == "range":
-        unknown = set(value) - {"gt", "gte", "lt", "lte"}
-        if unknown:
-            raise Rejected(f"unknown range bound {sorted(unknown)}")
-        ops = {"gt": own.__gt__, "gte": own.__ge__, "lt": own.__lt__, "lte": own.__le__}
-        found = reduce(lambda a, b: a & b, (ops[k](F.lit(v)) for k, v in value.items()), F.lit(True))
-    elif kind == "match":
-        text, every = (value["query"], value.get("operator", "or").lower() == "and") if isinstance(value, dict) else (value, False)
+        one = typed(value, of)
+        return F.lit(False) if one is None else own == one
+    if kind == "terms":
+        some = [x for x in (typed(v, of) for v in _list(value)) if x is not None]
+        return own.isin(*some) if some else F.lit(False)
+    if kind == "prefix":
+        if not isinstance(value, str):
+            raise Rejected("a prefix is a text")
+        return own.cast("string").startswith(value)
+    if kind == "range":
+        if not isinstance(value, dict):
+            raise Rejected("a range has bounds")
+        return reduce(lambda a, b: a & b, _bounds(own, of, value), own.isNotNull())
+    if kind == "match":
+        text, every = (value.get("query"), str(value.get("operator", "or")).lower() == "and") if isinstance(value, dict) else (value, False)
         wanted = sorted({w for w in "".join(c if c.isalnum() else " " for c in str(text).lower()).split()})
         if not wanted:
             return F.lit(False)
         has = F.array(*map(F.lit, wanted))
-        found = F.size(F.array_intersect(words(own), has)) == len(wanted) if every else F.arrays_overlap(words(own), has)
-    else:
-        raise Rejected(f"unsupported query {kind}")
-    return F.coalesce(found, F.lit(False))
+        return F.size(F.array_intersect(words(own.cast("string")), has)) == len(wanted) if every else F.arrays_overlap(words(own.cast("string")), has)
+    raise Rejected(f"unsupported query {kind}")
 
 
-def ordering(sort: Any) -> list[Column]:
+def ordering(sort: Any, columns: list[str]) -> list[Column]:
     out = []
     for one in _list(sort or []):
         name, how = (one, "asc") if isinstance(one, str) else _single(one)
         how = how.get("order", "asc") if isinstance(how, dict) else how
         if name == "_score":
             raise Rejected("there are no scores to sort by")
+        if name not in columns:
+            raise Rejected("a sort names no field")
         out.append(F.col(name).desc_nulls_last() if how == "desc" else F.col(name).asc_nulls_last())
     return out
 
 
 def isolated(base: DataFrame, fields: dict[str, Any]) -> DataFrame:
-    """The part of ``base`` that the partition-valued fields own. A shared placement without such a field is refused."""
+    """The part of ``base`` that the partition-valued fields own. A shared placement without such a field is refused.
+
+    The partition, a text, is compared as a value of the field's stored type; one that is none owns nothing.
+    """
     if not fields:
         raise Rejected("a shared placement needs a field that holds the partition")
-    return base.filter(reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in fields.items())))
+    for k, v in fields.items():
+        try:
+            one = typed(v, base.schema[k].dataType)
+            if one is not None and str(v).strip() != str(v):
+                one = None
+        except Rejected:
+            one = None
+        base = base.filter(F.lit(False) if one is None else F.col(k) == one)
+    return base
 
 
 def matched(base: DataFrame, body: dict, fields: dict[str, Any] | None) -> DataFrame:
     """Rows that a body matches; ``fields`` None means a dedicated placement, which needs no filter."""
     check(body, fields is not None)
     own = base if fields is None else isolated(base, fields)
-    return own.filter(predicate(body.get("query"), own.columns))
+    return own.filter(predicate(body.get("query"), own.schema))
 
 
 def search(base: DataFrame, body: dict, fields: dict[str, Any] | None, tie: str = "_id") -> DataFrame:
     """Hits in order, ``from`` and ``size`` applied, ``_source`` columns picked. ``tie`` makes the order total."""
     hits = matched(base, body, fields)
-    hits = hits.orderBy(*ordering(body.get("sort")), F.col(tie)).offset(int(body.get("from", 0))).limit(int(body.get("size", DEFAULT_SIZE)))
+    hits = hits.orderBy(*ordering(body.get("sort"), hits.columns), F.col(tie)).offset(int(body.get("from", 0))).limit(int(body.get("size", DEFAULT_SIZE)))
     picked = body.get("_source", True)
     if picked is False:
         return hits.select(*[c for c in hits.columns if c.startswith("_") and c != "_source"])
@@ -148,6 +227,16 @@ def count(base: DataFrame, body: dict, fields: dict[str, Any] | None) -> DataFra
     return matched(base, body, fields).agg(F.count("*").alias("count"))
 
 
+def response(base: DataFrame, body: dict, fields: dict[str, Any] | None, tie: str = "_id") -> DataFrame:
+    """One row: the exact ``total`` of what matches and, in order, the ``hits`` of the page as JSON objects.
+
+    The page is at most ``size`` rows, so they fit a row; the total is a count of its own over the same scan.
+    """
+    page = search(base, body, fields, tie).select(F.to_json(F.struct("*")).alias("hit"), F.monotonically_increasing_id().alias("at"))
+    hits = page.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits"))
+    return matched(base, body, fields).agg(F.count("*").alias("total")).join(hits)
+
+
 _METRICS = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "value_count": F.count}
 
 
@@ -180,11 +269,13 @@ def aggregate(base: DataFrame, body: dict, fields: dict[str, Any] | None, name:
             break
     rows = rows.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
     names = ["key", *(f"key{k}" for k in range(2, len(keys) + 1))]
-    if top:
-        name_, how = (top[1], "asc") if isinstance(top[1], str) else _single(_list(top[1])[0])
-        sign = F.struct((-F.col(name_) if how == "desc" else F.col(name_)).alias("o"), F.col("_id").alias("id"))
-        metrics.append(F.transform(F.slice(F.array_sort(F.collect_list(sign)), 1, top[0]), lambda x: x["id"]).alias("top"))
     out = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count("*").alias("doc_count"), *metrics)
+    if top:
+        # ranks are cut before rows are dealt, so a bucket of any size sends a few rows a task
+        order = Window.partitionBy(*names).orderBy(*ordering(top[1], rows.columns), "_id")
+        best = rows.withColumns({n: F.col(k) for k, n in zip(keys, names, strict=True)}).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top[0])
+        hits = best.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_id"))), lambda x: x["_id"]).alias("top"))
+        out = out.join(hits, names)
     if len(keys) == 1:
         return out.orderBy(F.desc("doc_count"), "key").limit(outer)
     best = rows.groupBy(F.col(keys[0]).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(outer)

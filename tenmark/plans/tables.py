@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored documents: typed columns beside the tenant and the physical id."""
+    """Stored documents: typed columns beside the tenant, as it is stored, and the physical id."""
     o = table(spark, sf_dir, "orders")
     tenant = F.col("o_custkey").cast("string")
-    return o.select(F.lit("orders").alias("_index"), F.concat_ws(":", tenant, F.col("o_orderkey").cast("string")).alias("_id"), tenant.alias("_tenant"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return o.select(F.lit("orders").alias("_index"), F.concat_ws(":", tenant, F.col("o_orderkey").cast("string")).alias("_id"), F.col("o_custkey").alias("_tenant"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
