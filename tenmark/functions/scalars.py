@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FNV_OFFSET, FNV_PRIME, WRAP = 14695981039346656037, 1099511628211, 1 << 64
+FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
 def json_path(path: str) -> str:
@@ -59,19 +59,32 @@ def unhex_text(text: Column) -> Column:
     return F.when(text.rlike("^([0-9a-fA-F]{2})*$"), F.decode(F.unhex(text), "utf-8"))
 
 
-def fnv1a(text: Column) -> Column:
-    """64-bit FNV-1a of a text's bytes, as an exact decimal: a product of 64-bit numbers does not fit a long."""
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(text.cast("binary")), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    wide = lambda c: c.cast("decimal(38,0)")
-    wrap = F.lit(Decimal(WRAP)).cast("decimal(38,0)")
+def _fnv_halves(text: Column) -> Column:
+    """64-bit FNV-1a of a text's bytes as its two 32-bit halves, so that every product fits a long."""
+    pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(".."), F.lit(0))
+    bytes_ = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
+    low, mask = FNV_PRIME & 0xFFFF, F.lit(0xFFFFFFFF)  # the prime is 2^40 + low
 
     def step(h, b):
-        low = (h % F.lit(256).cast("decimal(38,0)")).cast("int")
-        x = h - wide(low) + wide(low.bitwiseXOR(b))
-        return wide(wide(wide(x * F.lit(Decimal(FNV_PRIME)).cast("decimal(18,0)")) % wrap))
+        product = h["lo"].bitwiseXOR(b) * low
+        shifted = F.shiftleft(h["lo"].bitwiseXOR(b), 8)
+        return F.struct((h["hi"] * low + F.shiftright(product, 32) + shifted).bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
+
+    start = F.struct(F.lit(FNV_OFFSET >> 32).cast("long").alias("hi"), F.lit(FNV_OFFSET & 0xFFFFFFFF).cast("long").alias("lo"))
+    return F.aggregate(bytes_, start, step)
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of a text's bytes, unsigned."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    halves = F.transform(F.array(_fnv_halves(text)), lambda h: (wide(h["hi"]) * F.lit(Decimal(1 << 32)) + wide(h["lo"])).cast("decimal(20,0)"))
+    return F.element_at(halves, 1)
+
 
-    start = F.lit(Decimal(FNV_OFFSET)).cast("decimal(38,0)")
-    return F.when(F.octet_length(text) == 0, start).otherwise(F.aggregate(bytes_, start, step))
+def fnv1a_mod(text: Column, n: int) -> Column:
+    """``fnv1a(text)`` modulo a small number, in longs alone."""
+    rest = F.transform(F.array(_fnv_halves(text)), lambda h: ((h["hi"] % n) * ((1 << 32) % n) + h["lo"]) % n)
+    return F.element_at(rest, 1).cast("int")
 
 
 def header(headers: Column, name: str) -> Column:
@@ -134,26 +147,63 @@ def async_unsupported(path: Column, query: Column) -> Column:
 
 
 def traceparent(value: Column) -> Column:
-    """``(trace_id, span_id, sampled)`` of a W3C traceparent, else null."""
-    pattern = r"^([0-9a-f]{2})-([0-9a-f]{32})-([0-9a-f]{16})-([0-9a-f]{2})$"
-    part = lambda k: F.regexp_extract(value, pattern, k)
-    valid = value.rlike(pattern) & (part(1) != "ff") & ~part(2).rlike("^0+$") & ~part(3).rlike("^0+$")
-    odd = F.conv(F.substring(part(4), 2, 1), 16, 10).cast("int") % 2 == 1
-    return F.when(valid, F.struct(part(2).alias("trace_id"), part(3).alias("span_id"), odd.alias("sampled")))
+    """``(trace_id, span_id, sampled)`` of a W3C traceparent of version 00, else null."""
+    pattern = r"^00-([0-9a-fA-F]{32})-([0-9a-fA-F]{16})-([0-9a-fA-F]{2})$"
+    part = lambda k: F.lower(F.regexp_extract(value, pattern, k))
+    valid = value.rlike(pattern) & ~part(1).rlike("^0+$") & ~part(2).rlike("^0+$")
+    odd = F.conv(F.substring(part(3), 2, 1), 16, 10).cast("int") % 2 == 1
+    return F.when(valid, F.struct(part(1).alias("trace_id"), part(2).alias("span_id"), odd.alias("sampled")))
 
 
 def b3(value: Column) -> Column:
-    """The same of a single B3 header; 64-bit trace ids are padded."""
-    pattern = r"^([0-9a-fA-F]{16}|[0-9a-fA-F]{32})-([0-9a-fA-F]{16})(-([01d]))?(-[0-9a-fA-F]{16})?$"
+    """The same of a single B3 header; 64-bit trace ids are padded, and no sampling state means sampled."""
+    pattern = r"^([0-9a-fA-F]{16}|[0-9a-fA-F]{32})-([0-9a-fA-F]{16})(?:-([01d])(?:-[^-]*)?)?$"
     part = lambda k: F.lower(F.regexp_extract(value, pattern, k))
-    return F.when(value.rlike(pattern), F.struct(F.lpad(part(1), 32, "0").alias("trace_id"), part(2).alias("span_id"), part(4).isin("1", "d").alias("sampled")))
+    valid = value.rlike(pattern) & ~part(1).rlike("^0+$") & ~part(2).rlike("^0+$")
+    return F.when(valid, F.struct(F.lpad(part(1), 32, "0").alias("trace_id"), part(2).alias("span_id"), (part(3) != "0").alias("sampled")))
+
+
+def b3_single(headers: Column) -> Column:
+    """One B3 value of a request: the single header, or its multi-header form folded into it."""
+    trace, span, flag = (header(headers, f"x-b3-{n}") for n in ("traceid", "spanid", "sampled"))
+    debug = header(headers, "x-b3-flags") == "1"
+    state = F.when(F.coalesce(debug, F.lit(False)), "d").when(flag.isin("1", "true"), "1").when(flag.isin("0", "false"), "0")
+    return F.coalesce(header(headers, "b3"), F.when(trace.isNotNull() & span.isNotNull(), F.concat_ws("-", trace, span, state)))
+
+
+#: Fixed value: longer ones are dropped.
+TRACESTATE_MOST = 512
+
+
+def trace_context(w3c: Column, b3_value: Column, request_id: Column, tracestate: Column | None = None) -> Column:
+    """``(trace_id, span_id, parent_span_id, tracestate, sampled)`` of a request's own span.
+
+    A caller's trace goes on, W3C before B3: its trace id and sampling stay, its span becomes the parent and the
+    span id is the request's own. Without one the request is a sampled root. ``tracestate`` goes on unchanged
+    with a W3C context only, if it is not blank and not too long.
+    """
+    digest, of_w3c = F.sha2(request_id, 256), traceparent(w3c)
+    caller = F.coalesce(of_w3c, b3(b3_value))
+    state = F.trim(F.lit(None).cast("string") if tracestate is None else tracestate)
+    return F.struct(
+        F.coalesce(caller["trace_id"], F.substring(digest, 1, 32)).alias("trace_id"),
+        F.substring(digest, 33, 16).alias("span_id"),
+        caller["span_id"].alias("parent_span_id"),
+        F.when(of_w3c.isNotNull() & (state != "") & (F.octet_length(state) <= TRACESTATE_MOST), state).alias("tracestate"),
+        F.coalesce(caller["sampled"], F.lit(True)).alias("sampled"),
+    )
+
+
+def with_trace_headers(headers: Column, context: Column, exporting: Column) -> Column:
+    """While traces are exported, the headers with the request's own trace context in place of the caller's."""
+    own = replace_header(remove_header(headers, "tracestate"), "traceparent", format_traceparent(context))
+    whole = F.when(context["tracestate"].isNotNull(), add_header(own, "tracestate", context["tracestate"])).otherwise(own)
+    return F.when(exporting, whole).otherwise(headers)
 
 
-def trace_context(w3c: Column, b3_value: Column, request_id: Column) -> Column:
-    """W3C before B3 before a context derived from the request id."""
-    digest = F.sha2(request_id, 256)
-    own = F.struct(F.substring(digest, 1, 32).alias("trace_id"), F.substring(digest, 33, 16).alias("span_id"), F.lit(False).alias("sampled"))
-    return F.coalesce(traceparent(w3c), b3(b3_value), own)
+def applicable_headers(headers: Column) -> Column:
+    """Headers that can be sent: names are tokens and values have no control characters."""
+    return F.filter(headers, lambda h: h["name"].rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$") & ~F.coalesce(h["value"], F.lit("")).rlike(r"[\x00-\x08\x0A-\x1F\x7F]"))
 
 
 def format_traceparent(context: Column) -> Column:

@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenmark.functions import scalars as S
+from tenmark.operators import routing
 
-LEVELS = ("off", "shape", "timing", "full")
+#: The levels, lowest first.
+LEVELS = ("Off", "Shape", "ShapeTiming", "ShapeRewriteDiff")
+#: A directive set is a list that an operator publishes; it is broadcast, and a larger one is refused.
+MOST_DIRECTIVES = 10_000
 FIELDS = ("tenant", "index", "principal", "endpoint")
 DIRECTIVE = "id string, level string, tenant string, index string, principal string, endpoint string, sample_per_mille int, expires_at double, ring_buffer boolean, capture boolean"
 _KEYS = {"id", "level", "ttl_secs", *FIELDS, "sample_per_mille", "ring_buffer", "capture"}
@@ -20,25 +24,32 @@ _KEYS = {"id", "level", "ttl_secs", *FIELDS, "sample_per_mille", "ring_buffer",
 
 def sampled(request_id: Column, per_mille: Column) -> Column:
     """The same request is in or out wherever it is looked at; 0 is never and 1000 always."""
-    unit = (S.fnv1a(request_id) % F.lit(1000).cast("decimal(38,0)")).cast("int")
+    return _within_rate(S.fnv1a_mod(request_id, 1000), per_mille)
+
+
+def _within_rate(unit: Column, per_mille: Column) -> Column:
     return F.when(per_mille <= 0, F.lit(False)).when(per_mille >= 1000, F.lit(True)).otherwise(unit < per_mille)
 
 
 def decode_directives(spark: SparkSession, text: str, now: float) -> DataFrame:
-    """A directive set from JSON; anything unknown or ill-typed fails the whole set."""
+    """A directive set from JSON, ``{"directives": [...]}``; anything unknown or ill-typed fails the whole set."""
     found = json.loads(text)
-    if not isinstance(found, list):
-        raise ValueError("a directive set is a list")
+    if not isinstance(found, dict) or set(found) != {"directives"} or not isinstance(found["directives"], list):
+        raise ValueError("a directive set is an object with a list of directives alone")
+    if len(found["directives"]) > MOST_DIRECTIVES:
+        raise ValueError("too many directives")
     rows = []
-    for one in found:
+    for one in found["directives"]:
         if not isinstance(one, dict) or set(one) - _KEYS or not isinstance(one.get("id"), str) or one.get("level") not in LEVELS:
             raise ValueError("not a directive")
         rate, ttl = one.get("sample_per_mille", 1000), one.get("ttl_secs")
-        if type(rate) is not int or not 0 <= rate <= 1000 or type(ttl) is not int or ttl < 0:
-            raise ValueError("a rate is 0 to 1000 and a life in whole seconds")
+        if type(rate) is not int or not 0 <= rate <= 1000 or type(ttl) is not int or ttl < 1:
+            raise ValueError("a rate is 0 to 1000 and a life one second or more")
         if any(one.get(f) is not None and not isinstance(one[f], str) for f in FIELDS) or any(type(one.get(f, False)) is not bool for f in ("ring_buffer", "capture")):
             raise ValueError("a field has the wrong type")
-        rows.append((one["id"], one["level"], *(one.get(f) for f in FIELDS), rate, now + ttl, one.get("ring_buffer", False), one.get("capture", False)))
+        if one.get("endpoint") is not None and one["endpoint"] not in routing.ENDPOINTS:
+            raise ValueError("an unknown endpoint")
+        rows.append((one["id"], one["level"], *(one.get(f) for f in FIELDS), rate, float(now + ttl), one.get("ring_buffer", False), one.get("capture", False)))
     return spark.createDataFrame(rows, DIRECTIVE)
 
 
@@ -49,18 +60,22 @@ def level_rank(level: Column) -> Column:
 def applicable(requests: DataFrame, directives: DataFrame, now: Column) -> DataFrame:
     """Requests with each directive that applies: alive, every field equal or open, sampled.
 
-    A directive set is an operator's list and bounded by what decodes; it is broadcast to a theta join that
-    keeps matches only.
+    The set is broadcast to a theta join that keeps matches only; more than ``MOST_DIRECTIVES`` are refused. A
+    request is hashed once, and only if a directive samples.
     """
+    if directives.limit(MOST_DIRECTIVES + 1).count() > MOST_DIRECTIVES:
+        raise ValueError("too many directives")
+    samples = not directives.filter("sample_per_mille BETWEEN 1 AND 999").isEmpty()
+    hashed = requests.withColumn("_unit", S.fnv1a_mod(F.col("request_id"), 1000) if samples else F.lit(0))
     d = directives.select(*(F.col(c).alias(f"d_{c}") for c in directives.columns))
-    fits = F.col("d_expires_at") > now
+    fits = (F.col("d_expires_at") > now) & _within_rate(F.col("_unit"), F.col("d_sample_per_mille"))
     for f in FIELDS:
         fits = fits & (F.col(f"d_{f}").isNull() | (F.col(f"d_{f}") == F.col(f)))
-    return requests.join(F.broadcast(d), fits).filter(sampled(F.col("request_id"), F.col("d_sample_per_mille")))
+    return hashed.join(F.broadcast(d), fits).drop("_unit")
 
 
 def diagnostics(requests: DataFrame, directives: DataFrame, now: Column) -> DataFrame:
-    """Per request the highest level that applies (``off`` if none), and whether a ring or capture is wanted."""
+    """Per request the highest level that applies (``Off`` if none), and whether a ring or capture is wanted."""
     on = applicable(requests, directives, now).groupBy("request_id").agg(F.max(level_rank(F.col("d_level"))).alias("rank"), F.bool_or("d_ring_buffer").alias("ring_buffer"), F.bool_or("d_capture").alias("capture"))
     both = requests.select("request_id").join(on, "request_id", "left")
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.coalesce("rank", F.lit(0)) + 1)
@@ -114,7 +129,7 @@ def pool_reuse(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def exported(rows: DataFrame, exporting: bool) -> DataFrame:
-    """Traces to export: only while exporting, of level ``shape`` or more."""
+    """Traces to export: only while exporting, of level ``Shape`` or more."""
     return rows.filter(F.lit(exporting) & (level_rank(F.col("level")) >= 1))
 
 

@@ -17,6 +17,7 @@ from tenmark.functions import scalars as S
 BY_VERB = {"_search": "Search", "_count": "Count", "_mget": "MultiGet", "_msearch": "MultiSearch", "_bulk": "IngestBulk"}
 TENANCY_AWARE = ("IngestDoc", "IngestBulk", "GetById", "DeleteById", "Search", "Count", "MultiGet", "MultiSearch", "DeleteByQuery")
 WRITES = ("IngestDoc", "IngestBulk", "DeleteById")
+ENDPOINTS = (*TENANCY_AWARE, "Cursor", "Admin", "Unknown")
 #: Error slug, HTTP status, whether a retry can help.
 ERRORS = (
     ("partition_unresolved", 400, False),
@@ -74,8 +75,9 @@ def classified(requests: DataFrame, method: str = "method", path: str = "path")
     kind = endpoint_kind(F.col(method), F.col(path))
     by_id = (n == 3) & at(1).isin("_doc", "_create")
     scroll = (n == 3) & (at(0) == "_search") & (at(1) == "scroll")
-    bare = (n > 0) & at(0).isin(*BY_VERB) & (n <= 3) & (kind != "Unknown") & ((n == 1) | (at(0) == "_search"))
-    index = F.when(kind.isin("Admin") | (bare & ~by_id), "").otherwise(F.coalesce(at(0), F.lit("")))
+    cursor = (kind == "Cursor") & (at(0) == "_search") & at(1).isin("scroll", "point_in_time")
+    bare = (n == 1) & at(0).isin(*BY_VERB) & (kind != "Unknown")
+    index = F.when((kind == "Admin") | bare | cursor, "").otherwise(F.coalesce(at(0), F.lit("")))
     return requests.withColumn("endpoint", kind).withColumn("logical_index", index).withColumn("doc_id", F.when(by_id | scroll, at(2)))
 
 

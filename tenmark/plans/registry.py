@@ -111,7 +111,7 @@ def logical_to_physical(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT _id AS physical, CAST(o_orderkey AS VARCHAR) AS own, CASE WHEN o_custkey = 7 THEN CAST(o_orderkey AS VARCHAR) END AS of_seven FROM @docs")
 def physical_to_logical(spark: SparkSession, d: str) -> DataFrame:
     own = documents(spark, d)
-    return own.select(F.col("_id").alias("physical"), S.to_logical(TEMPLATE, F.col("_tenant"), F.col("_id")).alias("own"), S.to_logical(TEMPLATE, F.lit("7"), F.col("_id")).alias("of_seven"))
+    return own.select(F.col("_id").alias("physical"), S.to_logical(TEMPLATE, F.col("_tenant").cast("string"), F.col("_id")).alias("own"), S.to_logical(TEMPLATE, F.lit("7"), F.col("_id")).alias("of_seven"))
 
 
 @query("SELECT _id AS physical, CAST(o_orderkey AS VARCHAR) AS _id, 'orders' AS _index, CAST(o_orderkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS hidden FROM @docs")
@@ -245,7 +245,7 @@ _SEVEN = {"_tenant": "7"}
 
 
 def _logical(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("_id", F.coalesce(S.to_logical(TEMPLATE, F.col("_tenant"), F.col("_id")), F.col("_id")))
+    return hits.withColumn("_id", F.coalesce(S.to_logical(TEMPLATE, F.col("_tenant").cast("string"), F.col("_id")), F.col("_id")))
 
 
 @query("SELECT 'orders' AS _index, CAST(o_orderkey AS VARCHAR) AS _id, o_orderstatus, o_totalprice FROM @docs WHERE tenant = '7' AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, _id LIMIT 5")
@@ -280,11 +280,10 @@ def isolated_count(spark: SparkSession, d: str) -> DataFrame:
     return Q.count(documents(spark, d), {"query": {"bool": {"filter": [{"range": {"o_totalprice": {"gte": 10000, "lte": 250000}}}, {"exists": {"field": "o_orderpriority"}}]}}}, _SEVEN)
 
 
-@query("SELECT o_orderstatus AS key, count(*) AS doc_count, sum(o_orderkey) AS keys FROM orders WHERE o_custkey <= 40 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
+@query("SELECT o_orderstatus AS key, count(*) AS doc_count, sum(o_orderkey) AS keys FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
 def terms_agg(spark: SparkSession, d: str) -> DataFrame:
     body = {"aggs": {"s": {"terms": {"field": "o_orderstatus", "size": 2}, "aggs": {"keys": {"sum": {"field": "o_orderkey"}}}}}}
-    base = documents(spark, d).filter(F.col("_tenant").cast("int") <= 40)
-    return Q.aggregate(base, body, None, "s")
+    return Q.aggregate(documents(spark, d), body, None, "s")
 
 
 @query("SELECT o_orderstatus AS key, count(*) AS doc_count, sum(o_orderkey) AS keys FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
@@ -310,7 +309,7 @@ def terms_top_hits(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT _id, o_totalprice FROM @docs WHERE tenant = '7' AND o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)")
 def get_by_id(spark: SparkSession, d: str) -> DataFrame:
     own = documents(spark, d)
-    least = own.filter("_tenant = '7'").agg(F.min("o_orderkey").cast("string").alias("id"))
+    least = own.filter("_tenant = 7").agg(F.min("o_orderkey").cast("string").alias("id"))
     wanted = least.select(F.lit(0).alias("pos"), S.to_physical(TEMPLATE, F.lit("7"), F.col("id")).alias("_id"))
     return Q.get_by_ids(own, wanted, _SEVEN).select("_id", "o_totalprice")
 
@@ -439,16 +438,18 @@ def fnv_sampling(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select("request_id", *(observe.sampled(r, F.lit(n)).alias(a) for n, a in ((250, "quarter"), (0, "never"), (1000, "always"))))
 
 
-DIRECTIVES = [
-    {"id": "a", "level": "shape", "ttl_secs": 60},
-    {"id": "b", "level": "full", "ttl_secs": 60, "tenant": "7", "ring_buffer": True},
-    {"id": "c", "level": "timing", "ttl_secs": 0, "endpoint": "Search"},
-    {"id": "d", "level": "timing", "ttl_secs": 60, "endpoint": "Search", "sample_per_mille": 500, "capture": True},
-]
+DIRECTIVES = {
+    "directives": [
+        {"id": "a", "level": "Shape", "ttl_secs": 60},
+        {"id": "b", "level": "ShapeRewriteDiff", "ttl_secs": 60, "tenant": "7", "ring_buffer": True},
+        {"id": "c", "level": "ShapeTiming", "ttl_secs": 5, "endpoint": "Search"},
+        {"id": "d", "level": "ShapeTiming", "ttl_secs": 60, "endpoint": "Search", "sample_per_mille": 500, "capture": True},
+    ]
+}
 
 
 @query(f"""WITH x AS (SELECT request_id, CAST(user_id AS VARCHAR) = '7' AS b, endpoint = 'Search' AND CAST({_FNV} % 1000 AS INTEGER) < 500 AS d FROM @req)
-SELECT request_id, CASE WHEN b THEN 'full' WHEN d THEN 'timing' ELSE 'shape' END AS level, b AS ring_buffer, d AS capture FROM x""")
+SELECT request_id, CASE WHEN b THEN 'ShapeRewriteDiff' WHEN d THEN 'ShapeTiming' ELSE 'Shape' END AS level, b AS ring_buffer, d AS capture FROM x""")
 def directive_level(spark: SparkSession, d: str) -> DataFrame:
     r = routing.classified(requests(spark, d)).select("request_id", F.col("user_id").cast("string").alias("tenant"), F.col("logical_index").alias("index"), F.lit("p").alias("principal"), "endpoint")
     return observe.diagnostics(r, observe.decode_directives(spark, json.dumps(DIRECTIVES), 1000.0), F.lit(1010.0))

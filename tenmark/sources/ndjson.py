@@ -43,13 +43,11 @@ def action(line: str) -> tuple[str, dict]:
     if len(found) != 1 or next(iter(found)) not in VERBS:
         raise ValueError("an action line has exactly one verb")
     verb, meta = next(iter(found.items()))
-    if not isinstance(meta, dict):
-        raise ValueError("an action's metadata is an object")
-    return verb, meta
+    return verb, meta if isinstance(meta, dict) else {}
 
 
 def bulk_items(body: str) -> list[tuple]:
-    """``(ordinal, action, index, id, routing, cas, source)`` of each operation."""
+    """``(ordinal, action, index, id, routing, cas, source)`` of each operation; metadata that is no text is none."""
     out, rest = [], lines(body)
     for line in rest:
         verb, meta = action(line)
@@ -59,8 +57,8 @@ def bulk_items(body: str) -> list[tuple]:
             if source is None:
                 raise ValueError("an action lacks its document")
             _object(source)
-        text = lambda k: None if meta.get(k) is None else str(meta[k])  # noqa: E731, B023
-        out.append((len(out), verb, text("_index"), text("_id"), text("routing") or text("_routing"), any(k in meta for k in CONDITIONAL), source))
+        text = lambda k: meta[k] if isinstance(meta.get(k), str) else None  # noqa: E731, B023
+        out.append((len(out), verb, text("_index"), text("_id"), text("routing"), any(k in meta for k in CONDITIONAL), source))
     return out
 
 

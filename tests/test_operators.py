@@ -11,6 +11,7 @@ from tenmark.functions import scalars as S
 from tenmark.operators import bulk, control, cursors, observe, rewrite, routing, writes
 from tenmark.plans import registry
 from tenmark.plans import search as Q
+from tenmark.plans.tables import documents
 from tenmark.sources import ndjson
 
 DOCS = [{}, {"a": 1}, {"a": {"b": [1, {"c": "}"}]}, "é": "x\"\\"}, {"t": True, "n": None, "s": "{", "f": 1.5}, {"_tenant": "evil"}]
@@ -97,11 +98,12 @@ def test_isolation_holds_for_any_query(spark):
 def test_bulk_bodies_keep_their_order(items, end):
     body = ""
     for verb, k, doc in items:
-        body += json.dumps({verb: {"_id": k}}) + end
+        body += json.dumps({verb: {"_id": str(k), "_index": k, "_routing": "r"}}) + end
         if verb != "delete":
             body += json.dumps(doc) + end
     got = ndjson.bulk_items(body)
-    assert [(g[0], g[1], g[3]) for g in got] == [(n, v, str(k)) for n, (v, k, _) in enumerate(items)]
+    # an index that is no text is none, and so is a routing by its old name
+    assert [(g[0], g[1], g[2], g[3], g[4]) for g in got] == [(n, v, None, str(k), None) for n, (v, k, _) in enumerate(items)]
     assert [None if g[6] is None else json.loads(g[6]) for g in got] == [None if v == "delete" else d for v, _, d in items]
 
 
@@ -179,13 +181,16 @@ def test_breaker_and_admission(spark):
 
 
 def test_directives_fail_closed(spark):
-    good = {"id": "a", "level": "full", "ttl_secs": 1}
-    assert observe.decode_directives(spark, json.dumps([good]), 0.0).count() == 1
-    for change in ({"x": 1}, {"level": "loud"}, {"sample_per_mille": 1001}, {"sample_per_mille": True}, {"ttl_secs": -1}, {"ttl_secs": "1"}, {"ring_buffer": 1}, {"tenant": 3}):
+    good = {"id": "a", "level": "ShapeTiming", "ttl_secs": 1}
+    sent = lambda *ones, **more: json.dumps({"directives": list(ones), **more})
+    assert observe.decode_directives(spark, sent(good), 0.0).count() == 1
+    assert observe.decode_directives(spark, sent(), 0.0).count() == 0
+    for change in ({"x": 1}, {"level": "loud"}, {"sample_per_mille": 1001}, {"sample_per_mille": True}, {"ttl_secs": 0}, {"ttl_secs": "1"}, {"ring_buffer": 1}, {"tenant": 3}, {"endpoint": "Serch"}):
         with pytest.raises(ValueError):
-            observe.decode_directives(spark, json.dumps([{**good, **change}]), 0.0)
-    with pytest.raises(ValueError):
-        observe.decode_directives(spark, "{}", 0.0)
+            observe.decode_directives(spark, sent({**good, **change}), 0.0)
+    for whole in ("{}", json.dumps([good]), sent(good, more=1)):
+        with pytest.raises(ValueError):
+            observe.decode_directives(spark, whole, 0.0)
 
 
 def test_signed_headers_and_cursors(spark):
@@ -201,13 +206,43 @@ def test_signed_headers_and_cursors(spark):
 
 
 def test_trace_precedence(spark):
-    t, s = "1" * 32, "2" * 16
-    rows = [(f"00-{t}-{s}-01", "3" * 16 + "-" + "4" * 16 + "-1"), ("00-" + "0" * 32 + f"-{s}-01", "3" * 16 + "-" + "4" * 16 + "-1"), (None, "x"), (None, None)]
-    got = spark.createDataFrame(rows, "w string, b string").select(S.trace_context(F.col("w"), F.col("b"), F.lit("req-1")).alias("c")).collect()
-    assert [r.c.trace_id for r in got][:2] == [t, "0" * 16 + "3" * 16] and got[2].c == got[3].c
-    assert got[0].c.sampled and not got[2].c.sampled
+    t, u, s = "1" * 32, "3" * 16, "2" * 16
+    rows = [
+        (f"00-{t}-{s}-01", f"{u}-{s}-1", " a=b "),
+        ("00-" + "0" * 32 + f"-{s}-01", f"{u}-{s}-0", "a=b"),
+        (f"01-{t}-{s}-01", f"{u}-{s}", "a=b"),
+        (f"00-{t}-{s}-00", None, "x" * 513),
+        (None, "1", "a=b"),
+        (None, f"{u}-{s}-x", None),
+    ]
+    own = S.trace_context(F.col("w"), F.col("b"), F.lit("req-1"), F.col("s"))
+    got = [r.c for r in spark.createDataFrame(rows, "w string, b string, s string").select(own.alias("c")).collect()]
+    root = got[4]
+    assert root == got[5] and root.sampled and root.parent_span_id is None and root.tracestate is None
+    assert [r.trace_id for r in got[:4]] == [t, "0" * 16 + u, "0" * 16 + u, t]
+    assert all(r.span_id == root.span_id != s and r.parent_span_id == s for r in got[:4])
+    assert [r.sampled for r in got[:4]] == [True, False, True, False]
+    assert [r.tracestate for r in got[:4]] == ["a=b", None, None, None]
 
 
 def test_query_plans(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = registry.QUERIES["isolated_count"](spark, sf_dir)._jdf.queryExecution().toString()
-    assert "PushedFilters" in plan and "o_totalprice" in plan.split("ReadSchema")[1] and "o_orderdate" not in plan.split("ReadSchema")[1]
+    pushed = plan[plan.rindex("PushedFilters") :].split("]")[0]
+    for part in ("EqualTo(o_custkey,7)", "GreaterThanOrEqual(o_totalprice,10000.0)", "LessThanOrEqual(o_totalprice,250000.0)", "IsNotNull(o_orderpriority)"):
+        assert part in pushed
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "o_totalprice" in plan.split("ReadSchema")[1] and "o_orderdate" not in plan.split("ReadSchema")[1]
+
+
+def test_ill_typed_values_are_rejected(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    for query in ({"term": {"o_totalprice": "abc"}}, {"range": {"o_orderkey": {"gt": "x"}}}, {"term": {"o_orderkey": True}}, {"term": {"o_orderdate": "never"}}, {"term": {"o_orderstatus": {"value": ["F"]}}}, {"terms": {"o_orderkey": [1, "q"]}}, {"prefix": {"o_orderstatus": 1}}):
+        with pytest.raises(Q.Rejected):
+            Q.count(docs, {"query": query}, {"_tenant": "7"})
+    none = [{"term": {"o_orderstatus": 5}}, {"term": {"o_orderkey": 1.5}}, {"term": {"o_orderkey": 1 << 70}}, {"term": {"no_field": "x"}}]
+    assert all(Q.count(docs, {"query": q}, {"_tenant": "7"}).first()[0] == 0 for q in none)
+    own = docs.filter("_tenant = 7").count()
+    assert Q.count(docs, {"query": {"bool": {"must_not": none}}}, {"_tenant": "7"}).first()[0] == own > 0
+    assert Q.count(docs, {"query": {"range": {"o_orderkey": {"gt": 0.5, "lt": 1 << 70}}}}, {"_tenant": "7"}).first()[0] == own
+    assert Q.count(docs, {}, {"_tenant": "no number"}).first()[0] == 0
