@@ -4,27 +4,29 @@ IDF is counted over all labelled rows. Fitting takes at most about ``per_languag
 chosen by a hash of the row; weights and temperature come from that sample alone. Weights are trained by follow-the-regularised-leader
 with elastic-net penalties, then one temperature is set on a fifth of the sample that training has not seen.
 
-A text's features are hashed n-grams of its lower-cased letters (anything else is one space), as shares of
+A text's features are hashed n-grams of its lower-cased letters (characters of Unicode's letter categories; digits,
+other numbers, marks and symbols are one space), as shares of
 all its n-grams times IDF. The logits are therefore a mean over positions, so whole texts of any length are
 scored piece by piece in bounded memory.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import resident, slices, texts, unused
 
 BITS = 16
 ORDERS = (1, 2, 3)
 PIECE = 1 << 18
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 class Model(NamedTuple):
@@ -159,19 +161,26 @@ def sample(rows: DataFrame, label: str, per_class: int, key: Column) -> list:
     return chosen.orderBy(F.xxhash64(key), "text").limit(2 * per_class * max(1, len(counts))).collect()
 
 
+def _once(t: str):
+    """The distinct hashed n-grams of a long text."""
+    own = np.zeros(1 << BITS, bool)
+    for codes in _pieces(_points(t)):
+        own[codes] = True
+    yield np.flatnonzero(own)
+
+
 def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """How many texts of ``rows`` have each hashed n-gram, and how many have letters: one vector per task, added up by blocks."""
     block = 1 << 12
 
     def count(it):
+        resident("language")
         seen, n = np.zeros(1 << BITS, np.int64), 0
-        for b in it:
-            for t in map(_letters, texts(b.column(0))):
+        for part in (part for b in it for part in slices(b)):
+            for t in map(_letters, texts(part.column(0))):
                 if t:
-                    own = np.zeros(1 << BITS, bool)
-                    for codes in _pieces(_points(t)):
-                        own[codes] = True
-                    seen += own
+                    for codes in [np.unique(np.concatenate([*_pieces(_points(t))]))] if len(t) <= PIECE else _once(t):
+                        seen[codes] += 1
                     n += 1
         if n:
             parts = [seen[k : k + block] for k in range(0, len(seen), block)] + [np.array([n])]
@@ -204,21 +213,34 @@ def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str
     return fit([(r["text"], r["lang"]) for r in chosen], frequencies=document_frequencies(rows.filter("lang IS NOT NULL")))
 
 
+def scored(model: Model, text: Column) -> Column:
+    """``lang_pred`` and ``score`` of a text. Only the text goes to Python, and only these two come back."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        resident("language")
+        for b in batches:
+            pred, score = [], []
+            for lo in range(0, len(b), 512):
+                names, p = predict(sent.value, texts(b.slice(lo, 512)))
+                pred += names
+                score.append(p)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(np.concatenate([*score, np.empty(0)]), pa.float64())], names=["lang_pred", "score"])
+
+    return of(text)
+
+
 def with_language(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the language of each whole text and its probability; other columns stay.
+    """Adds the language of each whole text and its probability; other columns stay, but for any of these names.
 
     A null, empty or letterless text is ``und`` with score 0.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    position = docs.columns.index(text)
-
-    def run(it):
-        for b in it:
-            pred, score = predict(sent.value, texts(b.column(position)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
-
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    (whole,) = unused(docs.columns, "_language")
+    taken = {n.lower() for n in names}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    both = docs.withColumn(whole, scored(model, F.col(text).cast("string")))
+    return both.select(*kept, F.col(whole)["lang_pred"].alias(names[0]), F.col(whole)["score"].alias(names[1]))
 
 
 def languages(docs: DataFrame, model: Model, held_out: Column, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -229,5 +251,5 @@ def languages(docs: DataFrame, model: Model, held_out: Column, text: str = "text
 
 def identified(docs: DataFrame, model: Model, least: float = 0.35, text: str = "text") -> DataFrame:
     """The documents whose language is known with at least ``least`` probability; columns as they were."""
-    names = ("_pred", "_score")
-    return with_language(docs, model, text, names).filter((F.col("_pred") != "und") & (F.col("_score") >= least)).drop(*names)
+    found = scored(model, F.col(text).cast("string"))
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= least))

@@ -31,27 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts, written
-from .shingles import candidates, counted_links, digest, least_overlap, links, shingle_sets, spare
+from .common import batches, discard, raw, resident, slices, small, small_batches, unused, written
+from .shingles import candidates, counted_links, digest, least_overlap, links, shingle_runs, shingle_sets, spare
 
 SKETCH_BITS = 21
 _BLOCK = 1 << 14
 BUCKET = 1024
-BUCKET_SHINGLES = 1_000_000
-FEW = 1_000_000
+BUCKET_SHINGLES = 400_000
 
 
 def _levels(rows: DataFrame, size: int) -> np.ndarray:
     """How frequent each sketch counter's shingles are, in half powers of two: 2 MB whatever the input."""
 
     def count(it):
+        resident("shingles")
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in it:
-            found = texts(b.column(0))
-            for lo in range(0, len(found), 2048):
-                sets = shingle_sets(found[lo : lo + 2048], size)
-                if sets:
-                    total += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for part in slices(b):
+                for h in shingle_runs(raw(part.column(0)), size):
+                    np.add.at(total, h >> np.uint64(64 - SKETCH_BITS), 1)
         for k in range(0, len(total), _BLOCK):
             part = total[k : k + _BLOCK]
             if part.any():
@@ -80,21 +78,19 @@ def _signed(rows: DataFrame, size: int, percent: int, id_column: str) -> DataFra
     sent = spark.sparkContext.broadcast(_levels(rows, size))
 
     def run(it):
+        resident("shingles")
         levels = sent.value
-        for b in it:
-            found = texts(b.column(2))
-            for lo in range(0, len(found), 2048):
-                n, node, first, more = [], [], [], []
-                for s in shingle_sets(found[lo : lo + 2048], size):
-                    n.append(len(s))
-                    node.append(digest(s) if len(s) else None)
-                    most = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                    level = levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
-                    order = np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-                    first.append(s[order[:most]].view(np.int64))
-                    more.append((s[order[most : most + spare(len(s), percent)]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                part = b.slice(lo, len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), _lists(first, np.int64), _lists(more, np.int32)], names=[id_column, "th", "n", "node", "prefix", "more"])
+        for part in (part for b in it for part in slices(b)):
+            n, node, first, more = [], [], [], []
+            for s in shingle_sets(raw(part.column(2)), size):
+                n.append(len(s))
+                node.append(digest(s) if len(s) else None)
+                most = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
+                level = levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+                order = np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
+                first.append(s[order[:most]].view(np.int64))
+                more.append((s[order[most : most + spare(len(s), percent)]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), _lists(first, np.int64), _lists(more, np.int32)], names=[id_column, "th", "n", "node", "prefix", "more"])
 
     return written(rows.select(id_column, "th", "text").mapInArrow(run, f"`{id_column}` {kind}, th long, n long, node binary, prefix array<long>, more array<int>"), "signed")
 
@@ -111,19 +107,22 @@ def _groups(signed: DataFrame, percent: int) -> DataFrame:
     """
     post = signed.select(F.explode("prefix").alias("token"), "nid", F.col("n").cast("int").alias("n"))
     shared = written(post.groupBy("token").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("token"), "shared")
-    shared = F.broadcast(shared) if shared.count() <= FEW else shared  # 8 bytes each
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else F.col("n")
-    placed = post.join(shared, "token").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "nid", "n")
+    placed = post.join(small(shared, 48), "token").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "nid", "n")
     placed = written(placed.select(F.xxhash64("token", "band").alias("token"), "nid", "n").distinct(), "placed")
     same = placed.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("nid").alias("x")).filter("c > 1").groupBy("c", "x").agg(F.min("token").alias("token"))
-    return written(placed.join(same.select("token"), "token").withColumnRenamed("token", "bucket"), "groups")
+    groups = written(placed.join(same.select("token"), "token").withColumnRenamed("token", "bucket"), "groups")
+    discard(shared, placed)
+    return groups
 
 
 def _dealt(members: DataFrame) -> DataFrame:
     """``bucket, q, i, j, nid``: every two chunks ``i <= j`` of a bucket are a task; ``q`` is a row's own chunk."""
     chunks = F.greatest(F.ceil(F.col("c") / BUCKET), F.ceil(F.col("shingles") / BUCKET_SHINGLES)).cast("int")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).select("bucket", chunks.alias("chunks"))
-    own = members.join(sizes, "bucket").withColumn("q", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).select("bucket", chunks.alias("chunks")).filter("chunks > 1")
+    large = written(sizes, "large")  # few, so members need not be dealt by bucket, which one bucket can fill
+    own = members.join(small(large, 64), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = own.withColumn("q", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
     own = own.select("bucket", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"), "nid")
     return own.select("bucket", "q", F.least("q", "o").alias("i"), F.greatest("q", "o").alias("j"), "nid")
 
@@ -132,10 +131,17 @@ def _first_rows(rows: DataFrame, classes: DataFrame, members: DataFrame, id_colu
     """``nid, node, m`` and ``columns`` of one row of ``rows`` for each class in ``members``."""
     wanted = classes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "node", "m", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"))
     wanted = written(wanted, "wanted")
-    few = wanted.count() <= FEW  # 64 bytes each
     match = (F.col("th") == F.col("_th")) & F.col(id_column).eqNullSafe(F.col("_id"))
     own = rows.select(F.col(id_column), "th", *columns)
-    return own.join(F.broadcast(wanted) if few else wanted, match).select("nid", F.col("node"), "m", *columns)
+    return own.join(small(wanted, 112), match).select("nid", F.col("node"), "m", *columns)
+
+
+def _values(column: pa.Array) -> list:
+    """Python values; lists as arrays of their own, texts as UTF-8."""
+    if pa.types.is_list(column.type):
+        flat, at = column.values.to_numpy(), column.offsets.to_pylist()
+        return [flat[lo:hi].copy() for lo, hi in zip(at, at[1:], strict=False)]
+    return raw(column) if pa.types.is_string(column.type) else column.to_pylist()
 
 
 def _in_tasks(dealt: DataFrame, found: DataFrame, columns: list[str], search, kind: str) -> DataFrame:
@@ -146,10 +152,12 @@ def _in_tasks(dealt: DataFrame, found: DataFrame, columns: list[str], search, ki
     schema = pa.schema([("a", own), ("b", own), ("n", pa.int64())])
 
     def run(it):
+        resident("shingles")
+
         def pairs():
             last, held = None, []
             for b in it:
-                for bucket, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for bucket, i, j, *row in (row for part in slices(b) for row in zip(*map(_values, part.columns), strict=True)):
                     if (bucket, i, j) != last:
                         if len(held) > 1:
                             yield from search(held, last[1] != last[2])
@@ -174,9 +182,8 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int,
 
     def may_link(held: list[list], split: bool):
         held.sort(key=lambda r: r[2])
-        raw = [np.array(r[3], np.int32) for r in held]
-        sets = [np.unique(x) for x in raw]
-        lost = np.array([len(x) - len(s) for x, s in zip(raw, sets, strict=True)])
+        sets = [np.unique(r[3]) for r in held]
+        lost = np.array([len(r[3]) - len(s) for r, s in zip(held, sets, strict=True)])
         side = np.array([r[0] for r in held]) if split else None
         for x, y in candidates(sets, lost, np.array([r[2] for r in held], np.int64), percent, side):
             if held[x][1] != held[y][1]:
@@ -185,6 +192,7 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, percent: int,
     near = written(_in_tasks(_dealt(groups), prefixes, ["nid", "n", "short"], may_link, "long"), "near")
     buckets = components(near).select(F.col("label").alias("bucket"), F.col("node").alias("nid")).join(classes.select("nid", "n").groupBy("nid").agg(F.max("n").alias("n")), "nid")
     buckets = written(buckets, "buckets")
+    discard(groups, near)
     found = _first_rows(rows, classes, buckets, id_column, ["text"])
 
     def do_link(held: list[list], split: bool):
@@ -215,9 +223,12 @@ def components(pairs: DataFrame) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         step = written(step, "step")
         if step.filter("label <> was").isEmpty():
+            discard(edges, labels)
             return step.select("node", "label")
         up = step.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        labels = written(step.join(up, F.col("label") == F.col("p"), "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        next_labels = written(step.join(up, F.col("label") == F.col("p"), "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        discard(labels, step)
+        labels = next_labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id", counted: bool = False) -> DataFrame:
@@ -230,6 +241,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     blank text has no shingle, no component, and its own id. Rows with a null id take part; a component of
     them alone has a null id. Repeated rows each get their row. An empty table gives no row.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, size, percent, text, id_column, counted)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, text: str, id_column: str, counted: bool) -> DataFrame:
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = _signed(rows, size, percent, id_column)
     who = F.struct(F.col(id_column).alias("_id"), F.col("th").alias("_th"))
@@ -238,35 +254,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     named_rows = signed.filter("node IS NOT NULL").withColumn("nid", F.xxhash64("node"))
     found = _links(rows, named_rows, classes, percent, size, id_column, counted)
     labels = components(found.filter("a <> b"))
-    named = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("component"))
-    whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(whole, "component").select("node", "component", "component_id")
-    own, more = signed.select(id_column, "th", F.col("n").alias("n_shingles"), "node"), []
+
+    # from here on only classes of several rows or with links, the others name themselves
+    linked = written(labels.join(classes.select("node", "least"), "node"), "linked")
+    whole = written(linked.groupBy("label").agg(F.min("least").alias("component_id")), "whole")
+    linked = linked.join(small(whole, 96), "label").select("node", F.col("label").alias("component"), "component_id")
+    copies = classes.filter("m > 1").select("node", "least", "m")
+    named = copies.join(linked, "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("m", F.lit(1)).alias("m"))
     if counted:
-        others = found.filter("a = b").select(F.col("a").alias("node"), F.col("n").alias("others"))
-        n_links = classes.select("node", "m").join(others, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        named, more = named.join(n_links, "node"), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    out = own.join(named, "node", "left")
-    return out.select(id_column, "th", "n_shingles", "component", F.when(F.col("component").isNull(), F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"), *more)
+        named = named.join(found.filter("a = b").select(F.col("a").alias("node"), F.col("n").alias("others")), "node", "left")
+        named = named.withColumn("n_links", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long"))
+    named = small(written(named.drop("m", "others"), "named"), 128)
+    own = signed.select(id_column, "th", F.col("n").alias("n_shingles"), "node")
+    out = own.filter("node IS NOT NULL").join(named, "node", "left")
+    alone = F.col("component").isNull()
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    kind = signed.schema[id_column].dataType
+    out = out.select(id_column, "th", "n_shingles", F.coalesce("component", "node").alias("component"), F.when(alone, F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"), *more)
+    blank = own.filter("node IS NULL").select(id_column, "th", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col(id_column).cast(kind).alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if counted else []))
+    return out.unionAll(blank)
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One document of each component, that with the smallest id; columns as they were.
+    """One document of each component, that with the smallest id; columns as they were, whatever their names.
 
     Texts without words stay. Of rows that repeat the smallest id of a component, one stays.
     """
     found = written(near_duplicates(docs, size, percent, text, id_column), "near")
-    grouped = found.filter("component IS NOT NULL")
-    first = grouped.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("th").alias("keep"), F.count("*").alias("n"))
-    verdict = grouped.join(first, "component").select(F.col(id_column).alias("_id"), F.col("th").alias("_th"), (F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep"))).alias("_stays"), (F.col("n") > 1).alias("_again"), F.hex("component").alias("_of"))
-    verdict = written(verdict.filter("NOT _stays OR _again").distinct(), "verdict")
-    few = verdict.count() <= FEW
-    match = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_th"))
-    gone = verdict.filter("NOT _stays")
-    left = docs.join(F.broadcast(gone) if few else gone, match, "left_anti")
-    again = verdict.filter("_stays AND _again")
-    if again.isEmpty():
+    # a component's smallest id and its least text hash, for components of several rows; no row is dealt by component alone
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.when(F.col(id_column).eqNullSafe(F.col("component_id")), F.col("th"))).alias("keep"), F.count("*").alias("rows"), F.sum(F.col(id_column).eqNullSafe(F.col("component_id")).cast("long")).alias("n"))
+    first = written(first.filter("rows > 1").select("component", "keep", "n"), "first")
+    own_id, th, stays, again, of = unused(docs.columns, "_id", "_th", "_stays", "_again", "_of")
+    same = F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep"))
+    verdict = found.join(small(first, 96), "component").select(F.col(id_column).alias(own_id), F.col("th").alias(th), same.alias(stays), (F.col("n") > 1).alias(again), F.hex("component").alias(of))
+    verdict = written(verdict.filter(~F.col(stays) | F.col(again)).distinct(), "verdict")
+    match = docs[id_column].eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(th))
+    gone = written(verdict.filter(~F.col(stays)).select(own_id, th), "gone")
+    left = docs.join(small(gone, 64), match, "left_anti")
+    twice = written(verdict.filter(F.col(stays) & F.col(again)), "twice")
+    discard(found, first, verdict)
+    if twice.isEmpty():
         return left
-    again = F.broadcast(again) if few else again
-    once = left.join(again, match).dropDuplicates(["_of"]).select(*docs.columns)
-    return left.join(again, match, "left_anti").unionAll(once)
+    some = small(twice, 128)
+    once = left.join(some, match).dropDuplicates([of]).select(*docs.columns)
+    return left.join(some, match, "left_anti").unionAll(once)

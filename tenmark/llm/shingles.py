@@ -8,55 +8,131 @@ import math
 import numpy as np
 import xxhash
 
-REMEMBERED = 400_000
-_known: dict[bytes, int] = {}
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        new = {w for w in words if w not in _known}
-        if len(_known) + len(new) > REMEMBERED:
-            _known.clear()
-            new = set(words)
-        _known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed at once; longer texts go in cuts at white space.
+PIECE = 1 << 19
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_seeds = np.random.default_rng(20240601).integers(1, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
+#: A value for each byte, A-Z as a-z and white space 0, and the base of the polynomial (5 modulo 8, so that it has no small order).
+_VALUES, _BASE = _seeds[:256].copy(), _seeds[256] // np.uint64(8) * np.uint64(8) + np.uint64(5)
+_VALUES[65:91] = _VALUES[97:123]
+_VALUES[_SPACE] = 0
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE, PIECE + 2), _powers(_INVERSE, PIECE + 2)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` starts, and its hash: a polynomial over its bytes, modulo 2^64."""
+    a = np.frombuffer(data, np.uint8)
+    space = np.empty(len(a) + 2, bool)
+    space[0] = space[-1] = True
+    space[1:-1] = _SPACE[a]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(a) > PIECE:  # one word longer than a piece
+        parts = [np.frombuffer(xxhash.xxh3_64_digest(data[i:j].lower()), np.uint64) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return starts, np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_VALUES[a] * _UP[: len(a)], out=sums[1:])
+    return starts, (sums[ends] - sums[starts]) * _DOWN[starts]
+
+
+def _cuts(data: bytes):
+    """Cuts of at most ``PIECE`` bytes that end before white space, or one word that is longer."""
+    lo = 0
+    while len(data) - lo > PIECE:
+        room = data[lo : lo + PIECE]
+        hi = lo + max(room.rfind(x) for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if hi <= lo:
+            ends = [k for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (k := data.find(x, lo + 1)) > 0]
+            hi = min(ends, default=len(data))
+        yield data[lo:hi]
+        lo = hi
+    yield data[lo:]
+
+
+def _words(texts: list[str] | list[bytes]):
+    """For runs of texts: how many words each has, and the hashes of all their words."""
+    held, size = [], 0
+    for t in texts:
+        data = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")
+        if held and size + len(data) >= PIECE:
+            yield _counted(held)
+            held, size = [], 0
+        if len(data) >= PIECE:
+            h = np.concatenate([_word_hashes(c)[1] for c in _cuts(data)])
+            yield np.array([len(h)]), h
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        yield _counted(held)
+
+
+def _counted(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    starts, h = _word_hashes(b"\n".join(held))
+    ends = np.cumsum([len(d) + 1 for d in held])
+    return np.diff(np.searchsorted(starts, ends), prepend=0), h
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each ``size`` consecutive words."""
+    run = h[: max(0, len(h) - size + 1)]
+    for k in range(1, size):
+        run = _mix(run) + h[k : len(h) - size + 1 + k]
+    return _mix(run)
 
 
-def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) > 1 else x
+
+
+def shingle_sets(texts: list[str] | list[bytes], size: int) -> list[np.ndarray]:
     """Distinct shingles of ``size`` words of each text, sorted; a shorter text is one shingle, none is empty.
 
-    A-Z are lowered and words end at ASCII white space; both are what bytes do by themselves.
+    A-Z are lowered and words end at ASCII white space.
     """
     out = []
-    for lo in range(0, len(texts), 256):
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts[lo : lo + 256]]
-        h = _hashes([w for words in split for w in words])
-        run = h
-        if size > 1 and len(h) >= size:
-            run = h[: len(h) - size + 1]
-            for k in range(1, size):
-                run = _mix(run) + h[k : len(h) - size + 1 + k]
-        run, at = _mix(run), 0
-        for words in split:
-            n = len(words)
+    for counts, h in _words(texts):
+        run, at = _runs(h, size), 0
+        for n in counts.tolist():
             if n >= size:
-                out.append(np.unique(run[at : at + n - size + 1]))
+                out.append(_distinct(run[at : at + n - size + 1]))
             elif n:
-                out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64))
+                out.append(_mix(_runs(h[at : at + n], n) + np.uint64(n)))  # apart from shingles of ``size`` words
             else:
                 out.append(np.empty(0, np.uint64))
             at += n
     return out
 
 
+def shingle_runs(texts: list[str] | list[bytes], size: int):
+    """Arrays with the shingles of texts of ``size`` words or more, repeated ones too; shorter texts have none here."""
+    for counts, h in _words(texts):
+        run = _runs(h, size)
+        ends = np.cumsum(counts)
+        inside = np.ones(len(h) + 1, np.int32)
+        for k in range(1, size):  # runs that would cross into the next text
+            inside[np.maximum(ends - k, 0)] = 0
+        yield run[inside[: len(run)] > 0]
+
+
 def digest(shingles: np.ndarray) -> bytes:
     """A 128-bit name for a set of shingles."""
     return xxhash.xxh3_128_digest(shingles.tobytes())
@@ -127,7 +203,7 @@ def _search(sets: list[np.ndarray], sizes: np.ndarray, percent: int, need, open_
     ``side``: only pairs of unequal sides count.
     """
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     values = np.concatenate(sets) if n else np.empty(0, np.uint64)
     order = np.argsort(values, kind="stable")  # owners stay ascending within a value
     values, owner = values[order], owner[order]
