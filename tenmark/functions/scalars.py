@@ -37,8 +37,8 @@ def has_key(body: Column, name: str) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """A JSON string literal of a text."""
-    return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1")
+    """A JSON string literal of a text, null for null."""
+    return F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1"))
 
 
 def is_json_number(text: Column) -> Column:

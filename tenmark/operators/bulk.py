@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -25,7 +27,7 @@ def flush_batches(ops: DataFrame, target: list[str], most: int = MAX_OPS, most_b
     """
     at = ops.columns.index("bytes")
 
-    def run(held: list[tuple]):
+    def run(held: Iterator[tuple]):
         batch, n, size = 0, 0, 0
         for row in held:
             yield *row, batch

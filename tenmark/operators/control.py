@@ -1,10 +1,13 @@
 """Migration, drain barrier, circuit breaker and admission as folds over ordered events.
 
-Each fold runs per key in the order of the events; a key's own events are what a task holds.
+Each fold runs per key in the order of the events and keeps only its own state, whatever a key's events.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +26,13 @@ TRANSITIONS = {
 }
 
 
-def migrate(events: list[tuple[str, str | None, int]], barrier_s: int = BARRIER_S) -> list[tuple]:
+def transitions(events: Iterable[tuple[str, str | None, int]], barrier_s: int = BARRIER_S) -> Iterator[tuple]:
     """``(phase, placement, read, write, error)`` after each of ``(op, placement, seconds)``.
 
     Reads stay on the old placement until completion; there is no write placement during cutover; a
     completion before the barrier has passed since cutover is refused; an abort clears the barrier.
     """
-    phase, at, to, since, out = None, None, None, None, []
+    phase = at = to = since = None
     for op, placement, ts in events:
         error = None
         if op == "set":
@@ -50,8 +53,11 @@ def migrate(events: list[tuple[str, str | None, int]], barrier_s: int = BARRIER_
                 at, to, since = to, None, None
             else:
                 to = since = None
-        out.append((phase, at, at, None if phase == "cutover" else at, error))
-    return out
+        yield phase, at, at, None if phase == "cutover" else at, error
+
+
+def migrate(events: Iterable[tuple[str, str | None, int]], barrier_s: int = BARRIER_S) -> list[tuple]:
+    return list(transitions(events, barrier_s))
 
 
 def migration_states(log: DataFrame, barrier_s: int = BARRIER_S) -> DataFrame:
@@ -60,9 +66,10 @@ def migration_states(log: DataFrame, barrier_s: int = BARRIER_S) -> DataFrame:
     ``epoch`` counts the accepted transitions of the partition, so it grows with every one.
     """
 
-    def run(held: list[tuple]):
+    def run(held: Iterator[tuple]):
         epoch = 0
-        for row, (phase, _, read, write, error) in zip(held, migrate([r[2:] for r in held], barrier_s), strict=True):
+        rows, events = itertools.tee(held)
+        for row, (phase, _, read, write, error) in zip(rows, transitions((r[2:] for r in events), barrier_s), strict=True):
             epoch += error is None
             yield phase, read, write, error, row[0], row[1], epoch
 
@@ -81,7 +88,7 @@ def breaker_states(calls: DataFrame, threshold: int = FAILURES, cooldown_s: int
     closes the breaker or starts the cooldown again.
     """
 
-    def run(held: list[tuple]):
+    def run(held: Iterator[tuple]):
         failures, opened = 0, None
         for row in held:
             _, _, ts, ok = row
@@ -119,7 +126,7 @@ def admission(requests: DataFrame, ceiling: int = IN_FLIGHT, body_cap: int = BOD
     and holds nothing; a release returns what its ``ref`` holds.
     """
 
-    def run(held: list[tuple]):
+    def run(held: Iterator[tuple]):
         in_use, total = {}, 0
         for row in held:
             _, _, kind, ref, size = row

@@ -9,6 +9,7 @@ operations of one batch are what a task holds.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,12 +79,15 @@ def apply_ops(state: DataFrame, ops: DataFrame) -> DataFrame:
     """
     rows = ops.select("key", F.col("ordinal").cast("long"), "action", "source").unionByName(state.join(ops.select("key").distinct(), "key", "left_semi").select("key", F.lit(-1).cast("long").alias("ordinal"), F.lit("state").alias("action"), "source"))
 
-    def run(held: list[tuple]):
-        begin = held[0][3] if held[0][2] == "state" else None
-        steps = [r for r in held if r[2] != "state"]
-        source, results = fold(begin, [(r[2], r[3]) for r in steps])
-        yield from ((r[0], None, r[1], x) for r, x in zip(steps, results, strict=True))
-        yield held[0][0], source, None, None
+    def run(held: Iterator[tuple]):
+        key = source = None
+        for key, ordinal, action, text in held:
+            if action == "state":
+                source = text
+                continue
+            source, (result,) = fold(source, [(action, text)])
+            yield key, None, ordinal, result
+        yield key, source, None, None
 
     return folded(rows, ["key"], ["ordinal"], run, "key string, source string, ordinal long, result string")
 
