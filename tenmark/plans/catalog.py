@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -32,8 +34,10 @@ def query(sql: str | None = None):
             for k in used:
                 text = text.replace(f"@{k}", f"t_{k}")
             ctes = ", ".join(f"t_{k} AS ({SQL[k]})" for k in used)
-            lead = "WITH " + ctes + " " if ctes else ""
-            ORACLES[f.__name__] = lead + ((", " + text.strip()[4:].lstrip()) if ctes and text.strip().upper().startswith("WITH") else text)
+            own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", text)
+            if ctes:
+                text = f"WITH {own[1] or ''}{ctes}, {text[own.end() :]}" if own else f"WITH {ctes} {text}"
+            ORACLES[f.__name__] = text
         return f
 
     return keep

@@ -97,7 +97,8 @@ def hex_codec(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.hex_text(own).alias("hexed"), S.unhex_text(S.hex_text(own)).alias("back"))
 
 
-@query()
+@query("""SELECT event_id, CAST(strlen(props) AS BIGINT) AS length, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(props) + 1), lambda i: ascii(substr(props, i::INTEGER, 1))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc FROM events""")
 def crc32_frame(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.octet_length("props").cast("long").alias("length"), S.crc32(F.col("props")).alias("crc"))
 
@@ -358,7 +359,10 @@ def bulk_demux_batches(spark: SparkSession, d: str) -> DataFrame:
     return bulk.count_batches(operations(spark, d), ["request_id", "target"], 2).select("request_id", _long(F.col("ordinal")).alias("ordinal"), "target", "batch")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT target, request_id::BIGINT * 100 + ordinal AS ordinal, CAST(source % 1000 AS INTEGER) AS bytes, row_number() OVER (PARTITION BY target ORDER BY request_id::BIGINT * 100 + ordinal) AS k FROM @ops),
+r AS (SELECT target, ordinal, bytes, k, 0 AS batch, 1 AS n, bytes::BIGINT AS size FROM x WHERE k = 1
+  UNION ALL SELECT x.target, x.ordinal, x.bytes, x.k, CASE WHEN r.n >= 256 OR r.size >= 4096 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 256 OR r.size >= 4096 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 256 OR r.size >= 4096 THEN x.bytes ELSE r.size + x.bytes END FROM r JOIN x ON x.target = r.target AND x.k = r.k + 1)
+SELECT target, ordinal, bytes, batch FROM r""")
 def bulk_flush_by_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Greedy batches whose sum starts anew have no SQL form; tests hold them against a loop."""
     ops = operations(spark, d).withColumn("ordinal", _long(F.col("request_id")) * 100 + F.col("ordinal"))
@@ -496,7 +500,14 @@ def threshold_verdict(spark: SparkSession, d: str) -> DataFrame:
 # --- control ----------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT user_id AS u, event_id AS seq, ['set', 'begin', 'cutover', 'complete', 'abort'][event_id % 5 + 1] AS op, 'p' || event_id % 3 AS placement, CAST(floor(epoch(ts)) AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT DISTINCT u, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS phase, NULL::VARCHAR AS place, NULL::VARCHAR AS goal, NULL::BIGINT AS since, 0::BIGINT AS epoch, NULL::VARCHAR AS error FROM x
+  UNION ALL SELECT u, k, seq, CASE WHEN op = 'set' THEN 'active' WHEN e IS NOT NULL THEN phase WHEN op = 'begin' THEN 'draining' WHEN op = 'cutover' THEN 'cutover' ELSE 'active' END,
+    CASE WHEN op = 'set' THEN placement WHEN e IS NULL AND op = 'complete' THEN goal ELSE place END, CASE WHEN op = 'set' THEN NULL WHEN e IS NOT NULL THEN goal WHEN op = 'begin' THEN placement WHEN op IN ('complete', 'abort') THEN NULL ELSE goal END,
+    CASE WHEN op = 'set' THEN NULL WHEN e IS NOT NULL THEN since WHEN op = 'cutover' THEN ts WHEN op IN ('complete', 'abort') THEN NULL ELSE since END, epoch + CASE WHEN e IS NULL THEN 1 ELSE 0 END, e
+  FROM (SELECT x.*, r.phase, r.place, r.goal, r.since, r.epoch, CASE WHEN op = 'set' THEN NULL WHEN r.phase IS NULL THEN 'unknown_partition' WHEN op = 'begin' AND r.phase <> 'active' THEN 'already_migrating' WHEN op <> 'begin' AND r.phase = 'active' THEN 'not_migrating'
+    WHEN op = 'cutover' AND r.phase <> 'draining' THEN 'not_draining' WHEN op = 'complete' AND r.phase <> 'cutover' THEN 'not_cutover' WHEN op = 'complete' AND x.ts - r.since < 30 THEN 'barrier_pending' END AS e FROM r JOIN x ON x.u = r.u AND x.k = r.k + 1))
+SELECT phase, place AS read, CASE WHEN phase <> 'cutover' THEN place END AS write, error, CAST(u AS VARCHAR) AS partition, seq, epoch FROM r WHERE k > 0""")
 def migration_fold(spark: SparkSession, d: str) -> DataFrame:
     """A state machine over a log; tests hold it against its invariants."""
     e = table(spark, d, "events")
@@ -521,7 +532,11 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
     return control.failure_runs(calls).select(F.col("seq").alias("event_id"), _long(F.col("run")).alias("run"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT 'c' || user_id % 4 AS cluster, event_id AS seq, event_id AS ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS k FROM events),
+r AS (SELECT DISTINCT cluster, NULL::BIGINT AS seq, NULL::BIGINT AS ts, NULL::BOOLEAN AS ok, 0::BIGINT AS k, NULL::BOOLEAN AS allowed, 0::BIGINT AS failures, NULL::BIGINT AS opened FROM x
+  UNION ALL SELECT cluster, seq, ts, ok, k, may, CASE WHEN may AND ok THEN 0 WHEN may THEN failures + 1 ELSE failures END, CASE WHEN may AND ok THEN NULL WHEN may AND failures + 1 >= 2 THEN ts ELSE opened END
+  FROM (SELECT x.*, r.failures, r.opened, r.opened IS NULL OR greatest(x.ts - r.opened, 0) >= 5 AS may FROM r JOIN x ON x.cluster = r.cluster AND x.k = r.k + 1))
+SELECT cluster, seq, ts, ok, allowed, failures FROM r WHERE k > 0""")
 def breaker_state(spark: SparkSession, d: str) -> DataFrame:
     """A fold with feedback (a refused call counts as none); tests hold it against a loop."""
     calls = table(spark, d, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("cluster"), F.col("event_id").alias("seq"), F.col("event_id").alias("ts"), (F.col("event_type") != "error").alias("ok"))
