@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Bytes that are hashed at once; longer texts go in cuts at white space.
-PIECE = 1 << 19
+PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _seeds = np.random.default_rng(20240601).integers(1, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,20 +29,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, PIECE + 2), _powers(_INVERSE, PIECE + 2)
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of ``data`` starts, and its hash: a polynomial over its bytes, modulo 2^64."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of ``data`` starts and ends, and its hash."""
     a = np.frombuffer(data, np.uint8)
     space = np.empty(len(a) + 2, bool)
     space[0] = space[-1] = True
     space[1:-1] = _SPACE[a]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if len(a) > PIECE:  # one word longer than a piece
-        parts = [np.frombuffer(xxhash.xxh3_64_digest(data[i:j].lower()), np.uint64) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return starts, np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_VALUES[a] * _UP[: len(a)], out=sums[1:])
-    return starts, (sums[ends] - sums[starts]) * _DOWN[starts]
+    return starts, ends, span_hashes(data, starts, ends)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span, A-Z as a-z: a polynomial over its bytes, modulo 2^64."""
+    if len(data) > PIECE:  # one word longer than a piece
+        return np.array([xxhash.xxh3_64_intdigest(data[i:j].lower()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[np.frombuffer(data, np.uint8)] * _UP[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * _DOWN[starts]
 
 
 def _cuts(data: bytes):
@@ -68,7 +72,7 @@ def _words(texts: list[str] | list[bytes]):
             yield _counted(held)
             held, size = [], 0
         if len(data) >= PIECE:
-            h = np.concatenate([_word_hashes(c)[1] for c in _cuts(data)])
+            h = np.concatenate([word_hashes(c)[2] for c in _cuts(data)])
             yield np.array([len(h)]), h
         else:
             held.append(data)
@@ -78,7 +82,7 @@ def _words(texts: list[str] | list[bytes]):
 
 
 def _counted(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    starts, h = _word_hashes(b"\n".join(held))
+    starts, _, h = word_hashes(b"\n".join(held))
     ends = np.cumsum([len(d) + 1 for d in held])
     return np.diff(np.searchsorted(starts, ends), prepend=0), h
 

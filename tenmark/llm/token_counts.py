@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", id_column
         counts = segmenter(vocabulary).counts
         for b in it:
             found = texts(b.column(1))
-            n = [x for lo in range(0, len(found), 500) for x in counts(found[lo : lo + 500])]
+            n = counts(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in found], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tenmark.llm import registry
 from tenmark.llm.packing import best_fit_packing, plan
 from tenmark.llm.token_counts import token_counts
-from tenmark.llm.wordbpe import Segmenter
+from tenmark.llm.wordbpe import _ODD, _PRE, Segmenter, pre_tokens
 
 from . import brute
 
@@ -44,8 +44,30 @@ def test_ids_equal_the_library_on_any_text(texts):
 test_ids_equal_the_library_on_any_text.own = Segmenter(PATH)
 
 
-def test_forgetting_changes_nothing(own, monkeypatch):
+def test_pre_tokens_are_those_of_the_pattern(spark, sf_dir):
+    rng = random.Random(9)
+    texts = [(t or "").lower() for _, t in brute.documents(registry.table(spark, sf_dir, "documents"))]
+    texts += ["".join(rng.choices("'stmdrevlla é×÷ß12,.\n–“€ſ", k=rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["", "'", "''", "'s", "'l", "l'l", "'ll", "a'", "1'd2", "'re've", "'rx", "×", "é"]
+    for t in texts:
+        data = t.encode()
+        got = [data[i:j].decode() for i, j in zip(*(x.tolist() for x in pre_tokens(data)), strict=True)]
+        if not _ODD.search(t):
+            assert got == _PRE.findall(t)
+
+
+def test_merging_many_equals_the_library(own):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéinorstßž", k=rng.randrange(1, 25))) for _ in range(5000)] + ["a" * n for n in range(1, 40)] + ["-" * n for n in range(1, 40)] + ["ſ" * 7, "€…"]
+    assert own.merges is not None
+    assert own.merges.ids([w.encode() for w in words]) == own._alone(words)
+    assert own.merges.ids([]) == []
+
+
+def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr("tenmark.llm.wordbpe.REMEMBERED", 3)
+    monkeypatch.setattr("tenmark.llm.wordbpe.PIECE", 8)
+    own = Segmenter(PATH)
     texts = ["some words here", "other words there and é Σ", "some words again <|endoftext|>"]
     for t in texts * 3:
         assert own.ids([t]) == [library_ids(own, t)]
