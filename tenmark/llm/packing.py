@@ -39,8 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1,
         for b in it:
             at, piece, start, length, crc = [], [], [], [], []
             found = texts(b.column(1))
-            coded = (x for lo in range(0, len(found), 500) for x in ids(found[lo : lo + 500]))
-            for i, own in enumerate(coded):
+            for i, own in enumerate(ids(found)):
                 packed = own + tail
                 for k, lo in enumerate(range(0, len(packed), width)):
                     part = packed[lo : lo + width]
@@ -58,23 +57,39 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1,
 
 
 class _Lengths:
-    """How many pieces of each length are left, and which lengths sum to a gap."""
+    """How many pieces of each length are left, and an index of the sums of one, two and three lengths.
+
+    The index tells for every gap whether lengths that were left when it was built fill it exactly. Using
+    lengths up can only make it claim too much; it is built anew when a claim does not hold.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        self._index()
+
+    def _index(self) -> None:
+        """Sums as bits of whole numbers: shifting the pair sums by each length gives the triple sums, and so on."""
+        every = (1 << (self.capacity + 1)) - 1
+        lengths = np.flatnonzero(self.left).tolist()
+        one = sum(1 << x for x in lengths)
+        sums = [one]
+        for _ in range(2):
+            more = 0
+            for x in lengths:
+                more |= sums[-1] << x
+            sums.append(more & every)
+        size = self.capacity // 8 + 1
+        self.single, self.double, self.triple = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little") > 0 for x in sums)
 
     def largest(self, most: int) -> int:
         there = np.flatnonzero(self.left[1 : most + 1])
         return int(there[-1]) + 1 if len(there) else 0
 
-    def _enough(self, combination: tuple[int, ...], held: tuple[int, ...]) -> bool:
-        whole = combination + held
-        return all(self.left[x] >= whole.count(x) for x in combination)
-
     def pair(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
-        """Two lengths that sum to ``gap``, the most uneven first."""
+        """Two lengths that sum to ``gap`` beside those ``held``, the most uneven first."""
         left = self.left
         if held:
             left = left.copy()
@@ -83,21 +98,29 @@ class _Lengths:
         fits = low[(left[low] > 0) & (left[gap - low] > (2 * low == gap))]
         return (gap - int(fits[0]), int(fits[0])) if len(fits) else ()
 
-    def complement(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
-        """One, two or three lengths that are left and sum to ``gap`` exactly, or none."""
-        if self.left[gap] and self._enough((gap,), held):
-            return (gap,)
-        if found := self.pair(gap, held):
-            return found
+    def _three(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
         there = np.flatnonzero(self.left[: gap - 1])
-        for a in there[::-1]:
-            a = int(a)
+        for a in there[self.double[gap - there]][::-1].tolist():
             if 3 * a < gap:
                 break
-            if self._enough((a,), held) and gap - a >= 2 and (rest := self.pair(gap - a, (*held, a))) and self._enough((a, *rest), held):
+            if self.left[a] > held.count(a) and (rest := self.pair(gap - a, (*held, a))):
                 return (a, *rest)
         return ()
 
+    def complement(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
+        """One, two or three lengths that are left beside those ``held`` and sum to ``gap`` exactly, or none."""
+        if self.left[gap] > held.count(gap):
+            return (gap,)
+        stale = False
+        for sums, find in ((self.double, self.pair), (self.triple, self._three)):
+            if sums[gap]:
+                if found := find(gap, held):
+                    return found
+                stale = True
+        if stale and self.single[: self.capacity + 1][self.left == 0].any():  # lengths of the index are used up
+            self._index()
+        return ()
+
 
 def plan(counts: dict[int, int], capacity: int = 4096) -> list[Slot]:
     """Slots for ``counts`` pieces of each length.
