@@ -5,23 +5,33 @@ positions are running sums of their lengths. Each pattern runs only on texts whe
 it can match.
 
 Entropy: a candidate is a run of 20 or more characters of the base64 alphabets with a letter and a digit.
-What an allow-list pattern matches or a base span overlaps is cut out of it; each part left is judged by
-itself, if it still is a candidate. Its class is ``hex`` if it has hexadecimal digits alone, ``lower`` or
+What an allow-list pattern matches or a base span overlaps is cut out of it, in one sweep over all spans by
+start; each part left is judged by itself, if it still is a candidate. Its class is ``hex`` if it has hexadecimal digits alone, ``lower`` or
 ``upper`` (base32) if it has letters of one case and digits alone, else ``base64``. A window of ``WINDOW``
 characters slides over it; the counts and the sum of c*log2(c) are updated by the character that enters and
 the one that leaves. A part is reported when a window's entropy reaches the class's threshold.
+
+All of it takes time in proportion to the text, also with one run of any length or any number of matches. Spark
+copies the state of a fold at each step, so no fold here has a state that grows; running sums and maxima go by
+chunks, and what is cut out of a text is cut out of blocks of it.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The contract's patterns. Hex and access runs are maximal, so their least lengths can stand in the pattern.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+NO_CANDIDATE = r"[^A-Za-z0-9+/_=-]"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 THRESHOLD = {"hex": 3.0, "lower": 3.4, "upper": 3.4, "base64": 3.7}
@@ -29,102 +39,185 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Values that look random and are none: identifiers, placeholders, rows of the alphabet.
 ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|changeme|dummy", r"(?i)abcdefgh|qwertyui", r"01234567|12345678", r"(.)\1{7}")
 _NONE = "array<struct<start:int,kind:int,stop:int>>"
+_CHUNK = 16
+_BLOCK = 4096
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _before(df: DataFrame, values: dict[str, Column], op) -> DataFrame:
+    """Adds for each name an array: for each of its ``values`` what ``op`` makes of 0 and all values before it.
+
+    Values go in chunks of the root of their number, so n of them take n times that root, and far less in practice.
+    """
+    fold = lambda v: F.aggregate(v, F.lit(0), op)
+    plain = lambda v: F.transform(v, lambda _, i: fold(F.slice(v, F.lit(1), i)))
+    held = {n: unused([*df.columns, *values], f"{n}_values", f"{n}_chunks", f"{n}_totals") for n in values}
+    df = df.withColumns({held[n][0]: v for n, v in values.items()})
+
+    def cut(own):
+        size = F.greatest(F.lit(_CHUNK), F.ceil(F.sqrt(F.size(own))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int")), lambda k: F.slice(F.col(own), k * size + 1, size))
+
+    df = df.withColumns({chunk: F.when(F.size(own) > 0, cut(own)) for own, chunk, _ in held.values()})
+    df = df.withColumns({total: F.transform(chunk, fold) for _, chunk, total in held.values()})
+    whole = {}
+    for n, (_, chunk, total) in held.items():
+        both = F.arrays_zip(F.col(chunk).alias("own"), plain(F.col(total)).alias("base"))
+        whole[n] = F.flatten(F.transform(both, lambda z: F.transform(plain(z["own"]), lambda x: op(z["base"], x))))
+    return df.withColumns(whole).drop(*(c for three in held.values() for c in three))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, stop: Column) -> Column:
+    """Characters ``start`` to ``stop`` of a text by its blocks, without a scan from its beginning."""
+    first = F.floor(start / _BLOCK).cast("int")
+    own = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor((stop - 1) / _BLOCK).cast("int") - first + 1, F.lit(1))), "")
+    return F.when(stop > start, F.substring(own, start - first * _BLOCK + 1, stop - start)).otherwise(F.lit(""))
+
+
+def _span(start: Column, kind: int, stop: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), stop.cast("int").alias("stop"))
+
+
+class _Form(NamedTuple):
+    """A pattern, its kind, the group that must have ``least`` characters, and where it may match at all."""
 
+    pattern: str
+    kind: int
+    may: Column
+    group: int = 0
+    least: int = 1
+    mixed: bool = False
 
-def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
-    """``(start, kind, stop)`` of each match whose ``group`` has ``least`` characters, in order."""
-    match, own = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(match.alias("m"), F.split(text, pattern).alias("p"), own.alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
-    def step(a, x):
-        start = a["at"] + F.length(x["p"])
-        stop = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(F.length(x["g"]) >= least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+def _with_matches(df: DataFrame, text: Column, forms: dict[str, _Form]) -> DataFrame:
+    """Adds for each name the spans of its form in ``text``, in order."""
+    found = dict(zip(forms, unused([*df.columns, *forms], *(f"{n}_found" for n in forms)), strict=True))
+    at = dict(zip(forms, unused([*df.columns, *forms, *found.values()], *(f"{n}_at" for n in forms)), strict=True))
 
-    return F.aggregate(zipped, zero, step)["out"]
+    def matches(f):
+        every = F.regexp_extract_all(text, F.lit(f.pattern), F.lit(0))
+        columns = [every.alias("m"), F.slice(F.split(text, f.pattern), F.lit(1), F.greatest(F.size(every), F.lit(1))).alias("p")]
+        if f.group:
+            columns.append(F.regexp_extract_all(text, F.lit(f.pattern), F.lit(f.group)).alias("g"))
+        return F.when(f.may, F.arrays_zip(*columns))
 
+    df = df.withColumns({found[n]: matches(f) for n, f in forms.items()})
+    df = _before(df, {at[n]: F.transform(found[n], lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))) for n in forms}, lambda a, x: a + x)
 
-def _guarded(text: Column, may: Column, spans: Column) -> Column:
-    return F.when(may, spans).otherwise(F.array().cast(_NONE))
+    def spans(n, f):
+        def good(z):
+            own = z["x"]["g" if f.group else "m"]
+            return F.coalesce(F.length(own) >= f.least, F.lit(False)) & (_mixed(own) if f.mixed else F.lit(True))
+
+        start = lambda z: z["at"] + F.length(z["x"]["p"])
+        whole = F.filter(F.arrays_zip(F.col(found[n]).alias("x"), F.col(at[n]).alias("at")), good)
+        return F.coalesce(F.transform(whole, lambda z: _span(start(z), f.kind, start(z) + F.length(z["x"]["m"]))), F.array().cast(_NONE))
+
+    return df.withColumns({n: spans(n, f) for n, f in forms.items()}).drop(*found.values(), *at.values())
+
+
+def _mixed(s: Column) -> Column:
+    return s.rlike("[0-9]") & s.rlike("[A-Za-z]")
 
 
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of ``window`` consecutive characters (of all of them if fewer)."""
-    size = F.least(F.length(s), F.lit(window)).cast("double")
-    codes = F.transform(F.split(s, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.position(c, F.lit(ALPHABET))))
-    codes = F.filter(codes, lambda c: c > 0)
-    part = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
-
-    def bump(counts, code, by):
-        return F.transform(counts, lambda n, k: F.when(k + 1 == code, n + by).otherwise(n))
-
-    def step(a, x):
-        leaves = F.when(a["i"] >= window, F.element_at(codes, a["i"] - window + 1)).otherwise(F.lit(0))
-        n_out = F.when(leaves > 0, F.element_at(a["n"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        less = F.when(leaves > 0, bump(a["n"], leaves, -1)).otherwise(a["n"])
-        total = a["sum"] - part(n_out) + part(n_out - 1)
-        n_in = F.element_at(less, x)
-        total = total - part(n_in) + part(n_in + 1)
-        entropy = F.when(a["i"] + 1 >= size, F.log2(size) - total / size).otherwise(F.lit(0.0))
-        return F.struct(bump(less, x, 1).alias("n"), total.alias("sum"), F.greatest(a["best"], entropy).alias("best"), (a["i"] + 1).alias("i"))
-
-    return F.aggregate(codes, zero, step, lambda a: F.round(a["best"], 9))
-
-
-def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, threshold: dict[str, float] | None = None) -> tuple[Column, Column]:
-    """Sorted base spans and sorted added spans of a text (null: empty)."""
-    threshold = threshold or THRESHOLD
-    text = F.coalesce(text, F.lit(""))
-    base = F.concat(
-        _guarded(text, text.rlike(ASSIGN), _spans(text, ASSIGN, 0, 2, 8)),
-        _guarded(text, text.contains("AKIA"), _spans(text, ACCESS, 1)),
-        _guarded(text, text.rlike(HEX), _spans(text, HEX, 2)),
-    )
-    return F.array_sort(base), _guarded(text, text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3))
-
-
-def _added(base: Column, candidates: Column, text: Column, allowed: tuple[str, ...], threshold: dict[str, float]) -> Column:
-    def of(x):
-        return F.substring(text, x["start"] + 1, x["stop"] - x["start"])
-
-    def span(start, stop):
-        return F.struct(start.cast("int").alias("start"), F.lit(3).alias("kind"), stop.cast("int").alias("stop"))
-
-    def parts(x):
-        s = of(x)
-        own = [_guarded(s, s.rlike(p), _spans(s, p, 3)) for p in allowed]
-        moved = F.transform(F.concat(*own), lambda b: span(b["start"] + x["start"], b["stop"] + x["start"])) if own else F.array().cast(_NONE)
-        over = F.filter(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        zero = F.struct(x["start"].alias("at"), F.array().cast(_NONE).alias("out"))
-
-        def step(a, b):
-            gap = F.array(span(a["at"], b["start"]))
-            return F.struct(F.greatest(a["at"], b["stop"]).alias("at"), F.when(b["start"] - a["at"] >= WINDOW, F.concat(a["out"], gap)).otherwise(a["out"]).alias("out"))
-
-        cuts = F.concat(F.array_sort(F.concat(moved, over)), F.array(span(x["stop"], x["stop"])))
-        return F.aggregate(cuts, zero, step)["out"]
-
-    def mixed(x):
-        return of(x).rlike("[0-9]") & of(x).rlike("[A-Za-z]")
-
-    def keep(x):
-        s, least = of(x), F.lit(threshold["base64"])
+    """The largest Shannon entropy, in bits, of ``window`` consecutive characters (of all of them if fewer).
+
+    Characters outside ``ALPHABET`` are skipped. ``window`` is at most 60.
+    """
+    codes = F.filter(F.transform(F.split(s, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.position(c, F.lit(ALPHABET)))), lambda c: c > 0)
+    part = F.lit([0.0] + [n * math.log2(n) for n in range(1, window + 2)])  # n * log2(n)
+    # counts are one character each, so that one can be read and replaced by its place
+    zero = F.struct(F.lit("A" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+
+    def peak(code):  # bound to a variable, so that it is evaluated once
+        moves = F.flatten(F.transform(code, lambda c, i: F.when(i >= window, F.array(-F.element_at(code, i - window + 1), c)).otherwise(F.array(c))))
+        size = F.least(F.size(code), F.lit(window))
+
+        def step(a, move):
+            place, by = F.abs(move), F.signum(move.cast("double")).cast("int")
+            count = F.ascii(F.substring(a["counts"], place, F.lit(1))) - ord("A")
+            total = a["sum"] - part[count] + part[count + by]
+            n = a["n"] + by
+            entropy = F.log2(size.cast("double")) - total / size
+            return F.struct(
+                F.overlay(a["counts"], F.char(F.lit(ord("A")) + count + by), place, F.lit(1)).alias("counts"), total.alias("sum"),
+                F.when(n == size, F.greatest(a["best"], entropy)).otherwise(a["best"]).alias("best"), n.alias("n"),
+            )
+
+        return F.aggregate(moves, zero, step, lambda a: F.round(a["best"], 9))
+
+    return _bound(codes, peak)
+
+
+def _parts(df: DataFrame, name: str, spans: Column) -> DataFrame:
+    """Adds what of the candidates (kind 3) among sorted ``spans`` no other span covers, if it has ``WINDOW`` characters.
+
+    Such a part can only lie between the start of one span and that of the next: from where the others so far
+    reach, or the candidate begins, to there, or where the candidate ends.
+    """
+    every, opens, cuts, ends = unused(df.columns, "_every", "_opens", "_cuts", "_ends")
+    df = df.withColumn(every, spans)
+    of = {
+        opens: lambda x: F.when(x["kind"] == 3, x["start"]).otherwise(0),
+        cuts: lambda x: F.when(x["kind"] == 3, 0).otherwise(x["stop"]),
+        ends: lambda x: F.when(x["kind"] == 3, x["stop"]).otherwise(0),
+    }
+    df = _before(df, {n: F.transform(every, f) for n, f in of.items()}, lambda a, x: F.greatest(a, x))
+    starts = F.transform(every, lambda x: x["start"])
+    following = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(every), F.lit(1))), F.array(F.lit(2**31 - 1)))
+    whole = F.arrays_zip(F.col(every).alias("x"), following.alias("next"), *(F.col(n).alias(k) for n, k in ((opens, "open"), (cuts, "cut"), (ends, "end"))))
+
+    def part(z):
+        own = {n: f(z["x"]) for n, f in of.items()}
+        start = F.greatest(z["open"], own[opens], z["cut"], own[cuts])
+        return _span(start, 3, F.least(z["next"], F.greatest(z["end"], own[ends])))
+
+    found = F.filter(F.transform(whole, part), lambda x: x["stop"] - x["start"] >= WINDOW)
+    return df.withColumn(name, found).drop(every, opens, cuts, ends)
+
+
+def _random(parts: Column, blocks: Column, threshold: dict[str, float]) -> Column:
+    """Those of the parts that look random."""
+
+    def keep(s):
+        least = F.lit(threshold["base64"])
         for name, pattern in (("upper", "^[A-Z0-9]+=*$"), ("lower", "^[a-z0-9]+$"), ("hex", "^[0-9a-fA-F]+$")):
             least = F.when(s.rlike(pattern), F.lit(threshold.get(name, threshold["base64"]))).otherwise(least)
-        return F.when(mixed(x), peak_entropy(s) >= least).otherwise(F.lit(False))
+        return F.when(_mixed(s), peak_entropy(s) >= least).otherwise(F.lit(False))
 
-    return F.filter(F.flatten(F.transform(F.filter(candidates, mixed), parts)), keep)
+    return F.filter(parts, lambda p: _bound(_between(blocks, p["start"], p["stop"]), keep))
 
 
-def with_spans(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED, threshold: dict[str, float] | None = None) -> DataFrame:
-    """Adds ``_base`` and ``_all``, sorted arrays of ``(start, kind, stop)``; other columns stay."""
-    base, candidates = secret_spans(F.col(text), allowed, threshold)
-    held = docs.withColumn("_base", base).withColumn("_maybe", candidates)
-    added = _added(F.col("_base"), F.col("_maybe"), F.coalesce(F.col(text), F.lit("")), allowed, threshold or THRESHOLD)
-    return held.withColumn("_all", F.when(F.size("_maybe") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.col("_base"))).drop("_maybe")
+def with_spans(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED, threshold: dict[str, float] | None = None, names: tuple[str, str] = ("_base", "_all")) -> DataFrame:
+    """Adds the sorted base spans and all sorted spans of a text, arrays of ``(start, kind, stop)``, under ``names``.
+
+    Other columns stay. An allow-list pattern sees every run of candidate characters as a line of its own.
+    """
+    own = F.coalesce(F.col(text), F.lit(""))
+    assign, access, hexes, maybe, lines, blocks, parts, *allow = unused([*docs.columns, *names], "_assign", "_access", "_hex", "_maybe", "_lines", "_text", "_parts", *(f"_allow{k}" for k in range(len(allowed))))
+    forms = {
+        assign: _Form(ASSIGN, 0, own.rlike(ASSIGN), 2, 8),
+        access: _Form(ACCESS, 1, own.contains("AKIA")),
+        hexes: _Form(HEX, 2, own.rlike(HEX)),
+        maybe: _Form(CANDIDATE, 3, own.rlike(CANDIDATE), mixed=True),
+    }
+    held = _with_matches(docs, own, forms).withColumn(names[0], F.sort_array(F.concat(assign, access, hexes)))
+    some = F.size(maybe) > 0
+    held = held.withColumns({lines: F.when(some, F.regexp_replace(own, NO_CANDIDATE, "\n")), blocks: F.when(some, _blocks(own))})
+    patterns = {n: f"(?m:{p})" for n, p in zip(allow, allowed, strict=True)}
+    held = _with_matches(held, F.col(lines), {n: _Form(p, -1, F.col(lines).rlike(p)) for n, p in patterns.items()})
+    held = _parts(held, parts, F.when(some, F.sort_array(F.concat(names[0], maybe, *allow))))
+    added = _random(F.col(parts), F.col(blocks), threshold or THRESHOLD)
+    return held.withColumn(names[1], F.when(some, F.sort_array(F.concat(names[0], added))).otherwise(F.col(names[0]))).drop(*forms, lines, blocks, parts, *allow)
 
 
 def _named(spans: Column) -> Column:
@@ -145,11 +238,15 @@ def secret_scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces every span by ``mark``; overlapping spans become one. Columns, rows and null texts stay."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, x):
-        gap = F.substring(F.col(text), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(gap, F.lit(mark)))).alias("out"))
-
-    whole = F.aggregate("_all", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return with_spans(docs, text).withColumn(text, F.when(F.size("_all") > 0, whole).otherwise(F.col(text))).select(*docs.columns)
+    base, spans, blocks, upto = unused(docs.columns, "_base", "_all", "_text", "_upto")
+    found = with_spans(docs, text, names=(base, spans)).withColumn(blocks, F.when(F.size(spans) > 0, _blocks(F.col(text))))
+    found = _before(found, {upto: F.transform(spans, lambda s: s["stop"])}, lambda a, x: F.greatest(a, x))
+    of = F.col(blocks)
+
+    def piece(z):
+        return F.when(z["x"]["start"] >= z["at"], F.concat(_between(of, z["at"], z["x"]["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+    last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["stop"]))
+    pieces = F.transform(F.arrays_zip(F.col(spans).alias("x"), F.col(upto).alias("at")), piece)
+    whole = F.concat(F.array_join(pieces, ""), _between(of, last, F.length(text)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).select(*docs.columns)
