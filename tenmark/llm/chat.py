@@ -15,7 +15,7 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def _side(chosen: Column) -> Column:
-    turns = F.array_sort(F.collect_list(F.when(chosen, F.struct("turn", "role", "text"))))
+    turns = F.sort_array(F.collect_list(F.when(chosen, F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text"))))
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
@@ -49,7 +49,7 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, turn: str =
     """One row per pair: ``pair_id, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask``.
 
     ``pair`` names a turn's pair and ``chosen`` tells its side. Turns are ordered by number, then role, then
-    text, so ties and repeated rows have one result. A null role or text is empty. Turns whose pair is null
+    text, so ties and repeated rows have one result; turns without a number come last. A null role or text is empty. Turns whose pair is null
     belong to no conversation and are left out. A pair with one side has an empty prompt and an empty
     completion for the other. Equal conversations are all prompt. An empty table gives no row.
     """

@@ -153,12 +153,12 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import preference_pairs
 
     conv = F.col("conv_id")
-    return preference_pairs(table(spark, sf_dir, "conversations"), F.floor(conv / 2).cast("long"), F.pmod(conv, F.lit(2)) == 0)
+    return preference_pairs(table(spark, sf_dir, "conversations"), F.shiftright(conv, 1).cast("long"), F.pmod(conv, F.lit(2)) == 0)
 
 
 ORACLES["op5_preference_pairs"] = """
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, conv_id % 2 = 0 AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
 differ AS (
