@@ -12,6 +12,7 @@ block and payload are recomputed as bytes arrive and compared with its header.
 from __future__ import annotations
 
 import hashlib
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from .common import batches, new_folder, written
 
 BLOCK = 1 << 16
 ROLL = 64 << 20
+READERS = 20_000
 #: Smaller payloads are never revisits.
 LEAST = 100
 _DATE = "2024-01-01T00:00:00Z"  # archives of the same table are the same bytes
@@ -48,6 +50,11 @@ def _sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def _urn(page) -> str:
+    """A page's id as a URN; what could end a header is encoded."""
+    return f"urn:page:{'' if page is None else urllib.parse.quote(str(page), safe='')}"
+
+
 def record_bytes(kind: str, uri: str, record_id: str, payload: bytes, refers_to: str | None = None) -> bytes:
     """One record as a gzip member of its own. A revisit keeps the payload's length and digest, not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -168,7 +175,7 @@ def write_archives(found: DataFrame, folder: str) -> DataFrame:
                         files.create_dir(base, recursive=True)
                         path, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = files.open_output_stream(path, compression=None)
-                    data = record_bytes("response" if first is None else "revisit", url, f"urn:page:{'' if i is None else i}", html.encode("utf-8", "surrogatepass"), f"urn:page:{first}")
+                    data = record_bytes("response" if first is None else "revisit", url, _urn(i), html.encode("utf-8", "surrogatepass"), _urn(first))
                     out.write(data)
                     n, size = n + 1, size + len(data)
                     if size >= ROLL:
@@ -204,7 +211,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
         yield from batches(rows(), schema)
 
-    spread = archives.select("path", "records").repartition(max(1, archives.count()), "path")
+    # an archive a task, or several where there are more archives than READERS
+    spread = archives.select("path", "records").repartition(max(1, min(READERS, archives.count())))
     return spread.mapInArrow(run, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
@@ -212,10 +220,10 @@ def through_archives(pages: DataFrame, html: str = "html", url: str = "url", id_
     """Writes a record per page, then reads the archives back.
 
     Null pages are empty payloads; a null id is never a revisit and comes back null; repeated ids of equal
-    payload are all responses; other columns are dropped; an empty table writes nothing.
+    payload are all responses; ids of any type that a text casts to, with any characters; other columns are dropped; an empty table writes nothing.
     """
     folder = new_folder(pages.sparkSession, "warc")
     kind = pages.schema[id_column].dataType.simpleString()
     back = read_archives(write_archives(records(pages, html, url, id_column), folder), folder)
-    number = lambda c: F.when(F.length(c) > 9, F.substring(c, 10, 1 << 20)).cast(kind)
+    number = lambda c: F.url_decode(F.when(F.length(c) > 9, F.substring(c, 10, 1 << 20))).cast(kind)
     return back.select(number(F.col("record_id")).alias(id_column), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
