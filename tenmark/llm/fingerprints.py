@@ -10,8 +10,11 @@ The normaliser is that of the ICU library which Spark itself ships for its colla
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import written
 
@@ -20,6 +23,7 @@ _CASE = "com.ibm.icu.lang.UCharacter"
 #: Bytes of everything that Unicode calls white space, after normalisation.
 _SPACE = r"[\s\u0085   ]+"
 BLOCKS = 65_536
+RANGES = 256
 
 
 def canonical(text: Column) -> Column:
@@ -80,28 +84,51 @@ def exact_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     return found.join(first, "fingerprint").select(id_column, "group_id", "fingerprint")
 
 
+def _range_of(at: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below or equal to a number: a tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(at < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
 def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id") -> DataFrame:
-    """Adds ``next_<column>`` of the next row by ascending id (after the last: the first).
+    """Adds ``next_<column>`` of the next row by ascending id (after the last: the first). Ids are whole numbers.
 
-    Ids are cut into at most ``BLOCKS`` equal ranges, about 256 rows each if there are fewer. The first row
-    of each range also goes, as a guest, to the range before; then one shuffle by range is enough. What is
-    broadcast is one row per range. Rows with a null id come first; equal ids are ordered by the columns.
+    A quantile sketch of the ids cuts them into ``RANGES`` parts of about equally many rows, and each part into
+    equal ranges of about 256 rows, at most ``RANGES`` of them. The first row of each range also goes, as a guest, to
+    the range before; then one shuffle by range is enough. What is broadcast is one row per range. Equal ids are
+    ordered by the columns. Rows with a null id come first, by a hash of the columns, in ranges of that hash.
     """
-    at = F.col(id_column)
-    span = docs.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    ranges = max(1, min(BLOCKS, span["n"] // 256))
-    width = (int(hi) - int(lo)) // ranges + 1
-    block = F.coalesce(F.floor((at.cast("decimal(38,0)") - F.lit(int(lo)).cast("decimal(38,0)")) / F.lit(width)), F.lit(-1)).cast("int")
-    placed = docs.select(id_column, *columns, block.alias("_block"))
-    firsts = placed.groupBy("_block").agg(F.min(id_column).alias("_first"))
-    chain = Window.partitionBy(F.lit(0)).orderBy("_block")
-    last = F.max("_block").over(Window.partitionBy(F.lit(0)))
-    firsts = firsts.select("_block", "_first", F.coalesce(F.lag("_block").over(chain), last).alias("_before"))
-    both = F.when(at.eqNullSafe(F.col("_first")), F.array(F.struct(F.col("_block"), F.lit(False).alias("_guest")), F.struct(F.col("_before").alias("_block"), F.lit(True).alias("_guest")))).otherwise(F.array(F.struct(F.col("_block"), F.lit(False).alias("_guest"))))
-    rows = placed.join(F.broadcast(firsts), "_block").withColumn("_to", F.explode(both)).select(id_column, *columns, "_to._block", "_to._guest")
-    order = Window.partitionBy("_block").orderBy("_guest", id_column, *columns)
-    return rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("NOT _guest").drop("_block", "_guest")
+    if not isinstance(docs.schema[id_column].dataType, IntegralType):
+        raise TypeError("the next document is that of the next whole number")
+    at, own = F.col(id_column), "_" * (1 + max(len(c) for c in docs.columns))
+    block, first, guest, order_, part = (own + n for n in ("block", "first", "guest", "order", "part"))
+    quantiles = F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 10_000)
+    cut = docs.agg(quantiles.alias("q"), F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n"), F.count(at).alias("known")).first()
+    bounds = sorted({int(x) for x in cut["q"] or [] if x > cut["lo"]})
+    edges = [int(cut["lo"] or 0), *bounds, int(cut["hi"] or 0) + 1]
+    parts = max(1, min(RANGES, cut["n"] // 256 // (len(edges) - 1)))
+    wide = lambda xs: F.array(*(F.lit(Decimal(x)).cast("decimal(20,0)") for x in xs))
+    starts, widths = wide(edges[:-1]), wide((b - a) // parts + 1 for a, b in zip(edges, edges[1:], strict=False))
+    within = F.floor((at.cast("decimal(20,0)") - F.get(starts, F.col(part))) / F.get(widths, F.col(part))).cast("int")
+    unknown = max(1, min(BLOCKS, (cut["n"] - cut["known"]) // 256))
+    hashed = F.xxhash64(*columns)
+    of_null = F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 33) * unknown  # 31 bits
+    placed = docs.select(id_column, *columns, _range_of(at, bounds).alias(part))
+    placed = placed.select(id_column, *columns, F.when(at.isNull(), F.shiftright(of_null, 31).cast("int") - unknown).otherwise(F.col(part) * (RANGES + 1) + within).alias(block), F.when(at.isNull(), hashed).alias(order_))
+    who = F.struct(id_column, order_)
+    firsts = placed.groupBy(block).agg(F.min(who).alias(first))
+    chain = Window.partitionBy(F.lit(0)).orderBy(block)
+    last = F.max(block).over(Window.partitionBy(F.lit(0)))
+    firsts = firsts.select(block, first, F.coalesce(F.lag(block).over(chain), last).alias("_before"))
+    here, before = F.struct(F.col(block), F.lit(False).alias(guest)), F.struct(F.col("_before").alias(block), F.lit(True).alias(guest))
+    rows = placed.join(F.broadcast(firsts), block).withColumn("_to", F.explode(F.when(who.eqNullSafe(F.col(first)), F.array(here, before)).otherwise(F.array(here))))
+    rows = rows.select(id_column, *columns, order_, f"_to.{block}", f"_to.{guest}")
+    order = Window.partitionBy(block).orderBy(guest, id_column, order_, *columns)
+    return rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter(~F.col(guest)).drop(block, guest, order_)
 
 
 def edit_fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
