@@ -7,9 +7,10 @@ step looks only at the non-overlapping chunks of each document and keeps documen
 inside a window. The second step verifies every window of those documents word by word, and keeps the
 positions hit.
 
-The benchmark's n-grams are broadcast while the benchmark has at most ``broadcast_words`` words; beyond
-that the same joins are left to shuffle. Documents are told apart by id and text hash together, so repeated
-rows and repeated ids keep their own results.
+What is broadcast are 64-bit hashes of the benchmark's n-grams, while they fit into ``BROADCAST_BYTES``; beyond that
+the same joins are left to shuffle. A hash alone decides nothing: chunks only propose documents, and what the hashes
+of windows let through meets the windows' own words. Documents are told apart by id and text hash together, so
+repeated rows and repeated ids keep their own results.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, unused, written
 
 #: What the contract calls no part of a word once A-Z are lower-case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for text as it stands.
 WORD_AS_IS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_WORDS = 2_000_000
 
 
 def normal(text: Column) -> Column:
@@ -45,11 +45,7 @@ def _grams(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), run)).otherwise(F.array().cast("array<string>"))
 
 
-def _small(df: DataFrame, fits: bool) -> DataFrame:
-    return F.broadcast(df) if fits else df
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", id_column: str = "doc_id", item_id: str = "item_id", item_text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", id_column: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents in which a benchmark window occurs.
 
     Returns ``id, th, intervals, items``: the text's hash, the sorted ``(start, stop)`` word positions of
@@ -58,9 +54,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str =
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), normal(F.col(item_text)).alias("words")).filter("words <> ''")
     items = items.select("item", F.split("words", " ").alias("words")).withColumn("size", F.least(F.size("words"), F.lit(size))).transform(lambda d: written(d, "items"))
-    found = items.groupBy("size").agg(F.sum(F.size("words")).alias("n")).collect()  # at most ``size`` rows
-    sizes = sorted(r["size"] for r in found)
-    fits = sum(r["n"] for r in found) <= broadcast_words
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``size`` rows
 
     key = F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")
     plain = docs.select(*key, normal(F.col(text)).alias("words"))
@@ -68,22 +62,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str =
     chunk = {n: (n + 1) // 2 for n in sizes}
     cut = reduce(lambda a, b: F.concat(a, b), (F.regexp_extract_all(F.concat("words", F.lit(" ")), F.lit(f"(?:[^ ]++ ){{{k}}}"), F.lit(0)) for k in sorted(set(chunk.values()))), none)
     inside = reduce(lambda a, b: F.concat(a, b), (F.when(F.col("size") == n, _grams(F.col("words"), k)).otherwise(none) for n, k in chunk.items()), none)
-    chunks = items.select(F.explode(inside).alias("c")).select(F.concat("c", F.lit(" ")).alias("c")).distinct()
-    maybe = plain.select("id", "th", F.explode(cut).alias("c")).join(_small(chunks, fits), "c", "left_semi").select("id", "th").distinct()
+    chunks = written(items.select(F.explode(inside).alias("c")).select(F.xxhash64(F.concat("c", F.lit(" "))).alias("c")).distinct(), "chunks")
+    cut = F.transform(cut, lambda c: F.xxhash64(c))
+    maybe = plain.select("id", "th", F.explode(cut).alias("c")).join(small(chunks, 48), "c", "left_semi").select("id", "th").distinct()
     maybe = written(maybe, "maybe")
 
     grams = reduce(lambda a, b: F.concat(a, b), (F.when(F.col("size") == n, _grams(F.col("words"), n)).otherwise(none) for n in sizes), none)
-    windows = written(items.select("item", F.explode(grams).alias("gram")).distinct().withColumn("wid", F.xxhash64("gram")), "windows")
-    few = maybe.count() <= 1_000_000  # 24 bytes each
-    picked = plain.join(_small(maybe.withColumnsRenamed({"id": "mid", "th": "mth"}), few), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left_semi")
+    windows = written(items.select("item", F.explode(grams).alias("gram")).distinct().withColumns({"wid": F.xxhash64("gram"), "gid": F.md5("gram")}), "windows")
+    hashes = written(windows.select("wid").distinct(), "hashes")
+    picked = plain.join(small(maybe, 64).withColumnsRenamed({"id": "mid", "th": "mth"}), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left_semi")
     picked = picked.select("id", "th", F.split("words", " ").alias("words")).distinct()
     runs = lambda n: F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(i.alias("start"), (i + n).alias("stop"), g.alias("gram")))
     every = reduce(lambda a, b: F.concat(a, b), (runs(n) for n in sizes)) if sizes else F.array().cast("array<struct<start:int,stop:int,gram:string>>")
-    hits = picked.select("id", "th", F.explode(every).alias("w")).select("id", "th", "w.start", "w.stop", "w.gram")
-    hits = hits.join(_small(windows.select("gram", "wid").distinct(), fits), "gram")
-    by_doc = hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("intervals"), F.collect_set("wid").alias("wids"))
+    hits = picked.select("id", "th", F.explode(every).alias("w")).select("id", "th", "w.start", "w.stop", "w.gram", F.xxhash64("w.gram").alias("wid"))
+    hits = written(hits.join(small(hashes, 48), "wid", "left_semi"), "likely").join(windows.select("gram", "wid", "gid").distinct(), ["wid", "gram"])
+    by_doc = hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("intervals"), F.collect_set("gid").alias("gids"))
     by_doc = written(by_doc, "hits")
-    named = by_doc.select("id", "th", F.explode("wids").alias("wid")).join(_small(windows.select("wid", "item"), fits), "wid")
+    named = by_doc.select("id", "th", F.explode("gids").alias("gid")).join(windows.select("gid", "item"), "gid")
     names = named.groupBy("id", "th").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumnsRenamed({"id": "nid", "th": "nth"})
     return by_doc.join(names, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth"))).select("id", "th", "intervals", "items")
 
@@ -116,15 +111,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     follows it up to the next word, from all documents. Null and empty texts stay.
     """
     hits = find_hits(docs, benchmark, size, text, id_column, **names)
-    if spans:
-        hit = hits.select(F.col("id").alias("_hid"), F.col("th").alias("_hth"), F.col("intervals").alias("_in"))
-    else:
-        hit = hits.select(F.col("id").alias("_hid"), F.col("th").alias("_hth"), covered(F.col("intervals")).alias("_hit"))
-    match = docs[id_column].eqNullSafe(F.col("_hid")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hth"))
+    hid, hth, found = unused(docs.columns, "_hid", "_hth", "_found")
+    hit = hits.select(F.col("id").alias(hid), F.col("th").alias(hth), (F.col("intervals") if spans else covered(F.col("intervals"))).alias(found))
+    match = docs[id_column].eqNullSafe(F.col(hid)) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(hth))
     both = docs.join(hit, match, "left")
     if not spans:
-        return both.filter(F.coalesce(~((F.col("_hit") > 0) & (share * F.col("_hit") >= count_words(normal(F.col(text))))), F.lit(True))).select(*docs.columns)
+        return both.filter(F.coalesce(~((F.col(found) > 0) & (share * F.col(found) >= count_words(normal(F.col(text))))), F.lit(True))).select(*docs.columns)
     words, gaps = F.regexp_extract_all(F.col(text), F.lit(WORD_AS_IS), F.lit(0)), F.split(F.col(text), WORD_AS_IS)
-    kept = F.transform(words, lambda w, i: F.when(F.exists("_in", lambda x: (x["start"] <= i) & (i < x["stop"])), F.lit("")).otherwise(F.concat(w, F.element_at(gaps, i + 2))))
-    cut = F.when(F.col("_in").isNull(), F.col(text)).otherwise(F.concat(F.element_at(gaps, 1), F.array_join(kept, "")))
+    kept = F.transform(words, lambda w, i: F.when(F.exists(found, lambda x: (x["start"] <= i) & (i < x["stop"])), F.lit("")).otherwise(F.concat(w, F.element_at(gaps, i + 2))))
+    cut = F.when(F.col(found).isNull(), F.col(text)).otherwise(F.concat(F.element_at(gaps, 1), F.array_join(kept, "")))
     return both.withColumn(text, cut).select(*docs.columns)

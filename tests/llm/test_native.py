@@ -27,11 +27,12 @@ def test_contamination_equals_brute_force(spark, sf_dir):
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
-def test_contamination_of_awkward_rows(spark, limit):
+def test_contamination_of_awkward_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr("tenmark.llm.common.BROADCAST_BYTES", limit)
     docs = brute.awkward(spark)
     items = [(1, "three FOUR five"), (2, None), (3, "!!"), (4, "nine ten one two three four five six seven eight nine ten one two three"), (5, "under"), (1, "four five")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows(decontaminate.contamination(docs, bench, broadcast_words=limit), *NAMES8)
+    got = rows(decontaminate.contamination(docs, bench), *NAMES8)
     assert got == sorted(brute.contamination(brute.documents(docs), items), key=str)
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
