@@ -586,4 +586,4 @@ def cursor_affinity_evict(spark: SparkSession, d: str) -> DataFrame:
     return cursors.affinity(pins, F.lit(now), 300, 50).select("cursor", "cluster")
 
 
-from tenmark.plans import lifecycle_registry  # noqa: E402, F401  adds its queries
+from tenmark.plans import lifecycle_registry, surfaces_registry  # noqa: E402, F401  add their queries
