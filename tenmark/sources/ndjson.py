@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERBS = ("index", "create", "update", "delete")
@@ -38,46 +38,43 @@ def _object(line: str) -> dict:
     return found
 
 
-def action(line: str) -> tuple[str, dict]:
-    found = _object(line)
-    if len(found) != 1 or next(iter(found)) not in VERBS:
-        raise ValueError("an action line has exactly one verb")
-    verb, meta = next(iter(found.items()))
-    return verb, meta if isinstance(meta, dict) else {}
-
-
-def bulk_items(body: str) -> list[tuple]:
-    """``(ordinal, action, index, id, routing, cas, source)`` of each operation; metadata that is no text is none."""
-    out, rest = [], lines(body)
-    for line in rest:
-        verb, meta = action(line)
-        source = None
-        if verb != "delete":
-            source = next(rest, None)
-            if source is None:
-                raise ValueError("an action lacks its document")
-            _object(source)
-        text = lambda k: meta[k] if isinstance(meta.get(k), str) else None  # noqa: E731, B023
-        out.append((len(out), verb, text("_index"), text("_id"), text("routing"), any(k in meta for k in CONDITIONAL), source))
-    return out
+def _text(meta: Column, name: str) -> Column:
+    """A text of an action's metadata; anything else is none."""
+    own = F.try_variant_get(meta, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(meta, f"$.{name}", "string"))
 
 
 def parse_bulk(bodies: DataFrame) -> DataFrame:
-    """Rows of ``BULK_SCHEMA`` from ``request_id, body``; a null body is empty and gives no row."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["request_id", "ordinal", "action", "index", "id", "routing", "cas", "source", "error"]
-        for pdf in parts:
-            rows = []
-            for rid, body in zip(pdf["request_id"], pdf["body"], strict=True):
-                try:
-                    rows += [(rid, *item, None) for item in bulk_items("" if body is None or body != body else body)]
-                except ValueError:
-                    rows.append((rid, None, None, None, None, None, None, None, "invalid_json"))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"ordinal": "Int32", "cas": "boolean"})
-
-    return bodies.select("request_id", "body").mapInPandas(run, BULK_SCHEMA)
+    """Rows of ``BULK_SCHEMA`` from ``request_id, body``; a null body is empty and gives no row.
+
+    Which line is an action depends on the verbs before it: a fold over the verbs gives one letter for each line,
+    and the rest is done line by line. A body is bounded by the cap that requests have.
+    """
+    split = F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: ~x.rlike(r"^\s*$"))
+    rows = bodies.select("request_id", split.alias("lines"))
+    verb = lambda x: F.regexp_extract(x, r'^\s*\{\s*"(index|create|update|delete)"\s*:', 1)
+
+    def step(a, x):
+        role = F.when(a["doc"], "s").when(x == "", "x").when(x == "delete", "d").otherwise("a")
+        return F.struct(F.concat(a["roles"], role).alias("roles"), (role == "a").alias("doc"))
+
+    start = F.struct(F.lit("").alias("roles"), F.lit(False).alias("doc"))
+    rows = rows.withColumn("roles", F.aggregate(F.transform("lines", verb), start, step, lambda a: F.split(a["roles"], "")))
+    keys = lambda x: F.json_object_keys(x)
+    role = lambda i: F.get("roles", i)
+    # exactly one verb, objects alone, no line beyond the cap, and no action that lacks its document
+    bad = F.transform("lines", lambda x, i: F.coalesce((role(i) == "x") | keys(x).isNull() | ((role(i) != "s") & (F.size(keys(x)) != 1)), F.lit(True)) | (F.octet_length(x) > LINE_CAP))
+    damaged = F.exists(bad, lambda b: b) | F.coalesce(F.try_element_at("roles", F.lit(-1)) == "a", F.lit(False))
+    pairs = F.filter(F.transform("lines", lambda x, i: F.struct(role(i).alias("role"), x.alias("line"), F.get("lines", i + 1).alias("next"))), lambda p: p["role"] != "s")
+    rows = rows.select("request_id", F.when(F.size("lines") > 0, damaged).otherwise(False).alias("damaged"), pairs.alias("pairs"))
+    good = rows.filter("NOT damaged").select("request_id", F.posexplode("pairs").alias("ordinal", "p"))
+    good = good.withColumn("action", verb(F.col("p.line"))).withColumn("meta", F.element_at(F.from_json("p.line", "map<string,variant>"), F.col("action")))
+    meta = F.col("meta")
+    cas = reduce(lambda a, k: a | F.try_variant_get(meta, f"$.{k}", "variant").isNotNull(), CONDITIONAL, F.lit(False))
+    items = good.select("request_id", "ordinal", "action", _text(meta, "_index").alias("index"), _text(meta, "_id").alias("id"), _text(meta, "routing").alias("routing"), cas.alias("cas"), F.when(F.col("p.role") == "a", F.col("p.next")).alias("source"), F.lit(None).cast("string").alias("error"))
+    none = {c: F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns}
+    failed = rows.filter("damaged").select("request_id", *(none[c] for c in items.columns[1:-1]), F.lit("invalid_json").alias("error"))
+    return items.unionByName(failed)
 
 
 def parse_multi_get(bodies: DataFrame, default_index: str = "") -> DataFrame:

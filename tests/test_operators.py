@@ -14,6 +14,8 @@ from tenmark.plans import search as Q
 from tenmark.plans.tables import documents
 from tenmark.sources import ndjson
 
+from . import plain_bulk
+
 DOCS = [{}, {"a": 1}, {"a": {"b": [1, {"c": "}"}]}, "é": "x\"\\"}, {"t": True, "n": None, "s": "{", "f": 1.5}, {"_tenant": "evil"}]
 
 
@@ -101,12 +103,39 @@ def test_bulk_bodies_keep_their_order(items, end):
         body += json.dumps({verb: {"_id": str(k), "_index": k, "_routing": "r"}}) + end
         if verb != "delete":
             body += json.dumps(doc) + end
-    got = ndjson.bulk_items(body)
+    got = plain_bulk.bulk_items(body)
     # an index that is no text is none, and so is a routing by its old name
     assert [(g[0], g[1], g[2], g[3], g[4]) for g in got] == [(n, v, None, str(k), None) for n, (v, k, _) in enumerate(items)]
     assert [None if g[6] is None else json.loads(g[6]) for g in got] == [None if v == "delete" else d for v, _, d in items]
 
 
+def test_bulk_bodies_equal_a_plain_reader(spark):
+    rng = random.Random(8)
+    metas = [{"_id": "1"}, {"_id": 5, "_index": "i"}, {"_index": ["x"], "routing": "r"}, {"routing": None, "version": None}, {"if_seq_no": 3, "_id": ""}, {}, [1], "text", None, {"_routing": "r", "_id": "é\"\\"}]
+    docs = [{"a": 1}, {"index": {}}, {"delete": {"_id": "1"}}, {}, {"s": "x\ty"}]
+    bad = ["[]", "{", '{"index":{},"delete":{}}', '{"what":{}}', "7", '"index"']
+    bodies = []
+    for k in range(300):
+        body = ""
+        for _ in range(rng.randrange(0, 9)):
+            verb = rng.choice(ndjson.VERBS)
+            body += json.dumps({verb: rng.choice(metas)}) + rng.choice(["\n", "\r\n", "\n\n", "\n  \n"])
+            if verb != "delete":
+                body += json.dumps(rng.choice(docs)) + "\n"
+            if rng.random() < 0.03:
+                body += rng.choice(bad) + "\n"
+        bodies.append((str(k), body[: len(body) - rng.randrange(0, 3)] if rng.random() < 0.2 else body))
+    want = []
+    for rid, body in bodies:
+        try:
+            want += [(rid, *item, None) for item in plain_bulk.bulk_items(body)]
+        except ValueError:
+            want.append((rid, None, None, None, None, None, None, None, "invalid_json"))
+    got = [tuple(r) for r in ndjson.parse_bulk(spark.createDataFrame(bodies, "request_id string, body string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any(w[-1] for w in want) and sum(w[-1] is None for w in want) > 300
+
+
 def test_malformed_bulk_fails_whole(spark):
     bad = ['{"index":{}}\n', '{"index":{},"delete":{}}\n{}\n', '{"what":{}}\n{}', "no", '{"index":{}}\n[1]\n', '{"delete":{"_id":"1"}}\n{"index":{}}']
     got = ndjson.parse_bulk(spark.createDataFrame([(str(k), b) for k, b in enumerate([*bad, None, ""])], "request_id string, body string")).collect()
