@@ -8,10 +8,11 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenmark.functions.folds import folded
+from tenmark.functions.running import with_running
 
 BARRIER_S = 30
 FAILURES, COOLDOWN_S = 5, 5
@@ -105,18 +106,14 @@ def breaker_states(calls: DataFrame, threshold: int = FAILURES, cooldown_s: int
 
 
 def failure_runs(calls: DataFrame) -> DataFrame:
-    """Adds ``run``: failures in a row up to and with this call, per cluster. A window, as nothing resets but success."""
-    order = Window.partitionBy("cluster").orderBy("seq")
-    block = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order)
-    held = calls.withColumn("_b", block)
-    own = Window.partitionBy("cluster", "_b").orderBy("seq")
-    return held.withColumn("run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(own)).drop("_b")
+    """Adds ``run``: failures in a row up to and with this call, per cluster. Two running totals, as nothing resets but success."""
+    held = with_running(calls, ["cluster"], "seq", F.when(F.col("ok"), 1).otherwise(0), "_b")
+    return with_running(held, ["cluster", "_b"], "seq", F.when(F.col("ok"), 0).otherwise(1), "run").drop("_b")
 
 
 def in_flight(events: DataFrame, ceiling: int = IN_FLIGHT) -> DataFrame:
     """Adds ``held`` (bytes reserved less released so far, per listener) and ``over`` to ``listener, seq, delta``."""
-    order = Window.partitionBy("listener").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("held", F.sum("delta").over(order)).withColumn("over", F.col("held") > ceiling)
+    return with_running(events, ["listener"], "seq", F.col("delta"), "held").withColumn("over", F.col("held") > ceiling)
 
 
 def admission(requests: DataFrame, ceiling: int = IN_FLIGHT, body_cap: int = BODY) -> DataFrame:

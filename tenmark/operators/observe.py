@@ -7,10 +7,11 @@ import hmac
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenmark.functions import scalars as S
+from tenmark.functions.running import with_running
 from tenmark.operators import routing
 
 #: The levels, lowest first.
@@ -146,4 +147,5 @@ def allowed_attributes(attributes: Column, allowed: tuple[str, ...]) -> Column:
 
 def numbered(rows: DataFrame, by: str, prefix: str = "req-") -> DataFrame:
     """Adds ``request_id`` = prefix and position within ``by``'s listener."""
-    return rows.withColumn("request_id", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(by).orderBy("seq")).cast("string")))
+    held = with_running(rows, [by], "seq", F.lit(1), "_at")
+    return held.withColumn("request_id", F.concat(F.lit(prefix), F.col("_at").cast("string"))).drop("_at")

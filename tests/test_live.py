@@ -47,3 +47,19 @@ def test_directives_are_those_in_force(spark, tmp_path):
     assert sorted((r.request_id, r.level) for r in got.collect()) == [("r", "ShapeTiming"), ("s", "Off")]
     path.unlink()
     assert level(30.0) == [] and got.filter(F.col("capture")).isEmpty()
+
+
+def test_running_totals_of_any_chunk(spark):
+    import random
+
+    from tenmark.functions.running import with_running
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(-5, 9)) for k in range(-100, 400)]
+    want, held = {}, {}
+    for key, k, v in rows:
+        held[key] = held.get(key, 0) + v
+        want[k] = held[key]
+    df = spark.createDataFrame(rows, "key string, seq long, v long")
+    for chunk in (1, 7, 1 << 16):
+        assert {r.seq: r.t for r in with_running(df, ["key"], "seq", F.col("v"), "t", chunk).collect()} == want
