@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenmark.llm.common import written
+from tenmark.llm.common import discard, discard_since, mark, written
 from tenmark.llm.decontaminate import decontaminated
 from tenmark.llm.language import fit_languages, identified
 from tenmark.llm.near_duplicates import deduplicated
@@ -58,8 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table. What a stage wrote on its way goes once its result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        start, before = mark(), docs
         docs = written(stage(spark, docs, sf_dir), name)
+        discard_since(start, keep=docs)
+        if stage is not STAGES[0][1]:
+            discard(before)
     return docs

@@ -60,20 +60,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str =
     plain = docs.select(*key, normal(F.col(text)).alias("words"))
     none = F.array().cast("array<string>")
     chunk = {n: (n + 1) // 2 for n in sizes}
-    cut = reduce(lambda a, b: F.concat(a, b), (F.regexp_extract_all(F.concat("words", F.lit(" ")), F.lit(f"(?:[^ ]++ ){{{k}}}"), F.lit(0)) for k in sorted(set(chunk.values()))), none)
+    spot = "array<struct<c:long,k:int,at:int>>"
+    pieces = lambda k: F.transform(F.regexp_extract_all(F.concat("words", F.lit(" ")), F.lit(f"(?:[^ ]++ ){{{k}}}"), F.lit(0)), lambda c, i: F.struct(F.xxhash64(c).alias("c"), F.lit(k).alias("k"), (i * k).alias("at")))
+    cut = reduce(lambda a, b: F.concat(a, b), map(pieces, sorted(set(chunk.values()))), F.array().cast(spot))
     inside = reduce(lambda a, b: F.concat(a, b), (F.when(F.col("size") == n, _grams(F.col("words"), k)).otherwise(none) for n, k in chunk.items()), none)
     chunks = written(items.select(F.explode(inside).alias("c")).select(F.xxhash64(F.concat("c", F.lit(" "))).alias("c")).distinct(), "chunks")
-    cut = F.transform(cut, lambda c: F.xxhash64(c))
-    maybe = plain.select("id", "th", F.explode(cut).alias("c")).join(small(chunks, 48), "c", "left_semi").select("id", "th").distinct()
-    maybe = written(maybe, "maybe")
+    near = plain.select("id", "th", F.explode(cut).alias("s")).select("id", "th", "s.*").join(small(chunks, 48), "c", "left_semi")
+    maybe = written(near.groupBy("id", "th").agg(F.collect_set(F.struct("k", "at")).alias("spots")), "maybe")
 
     grams = reduce(lambda a, b: F.concat(a, b), (F.when(F.col("size") == n, _grams(F.col("words"), n)).otherwise(none) for n in sizes), none)
     windows = written(items.select("item", F.explode(grams).alias("gram")).distinct().withColumns({"wid": F.xxhash64("gram"), "gid": F.md5("gram")}), "windows")
     hashes = written(windows.select("wid").distinct(), "hashes")
-    picked = plain.join(small(maybe, 64).withColumnsRenamed({"id": "mid", "th": "mth"}), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left_semi")
-    picked = picked.select("id", "th", F.split("words", " ").alias("words")).distinct()
-    runs = lambda n: F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(i.alias("start"), (i + n).alias("stop"), g.alias("gram")))
-    every = reduce(lambda a, b: F.concat(a, b), (runs(n) for n in sizes)) if sizes else F.array().cast("array<struct<start:int,stop:int,gram:string>>")
+    both = plain.join(small(maybe, 256).withColumnsRenamed({"id": "mid", "th": "mth"}), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")))
+    picked = both.select("id", "th", "spots", F.split("words", " ").alias("words")).dropDuplicates(["id", "th"])
+
+    def runs(n):
+        """The windows of ``n`` words that hold one of the chunks found."""
+        k, last = chunk[n], F.size("words") - n
+        own = F.filter("spots", lambda s: (s["k"] == k) & (F.greatest(s["at"] - (n - k), F.lit(0)) <= F.least(s["at"], last)))
+        starts = F.flatten(F.transform(own, lambda s: F.sequence(F.greatest(s["at"] - (n - k), F.lit(0)), F.least(s["at"], last))))
+        gram = lambda i: F.array_join(F.slice("words", i + 1, n), " ")
+        return F.transform(F.array_distinct(starts), lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), gram(i).alias("gram")))
+
+    every = reduce(lambda a, b: F.concat(a, b), map(runs, sizes)) if sizes else F.array().cast("array<struct<start:int,stop:int,gram:string>>")
     hits = picked.select("id", "th", F.explode(every).alias("w")).select("id", "th", "w.start", "w.stop", "w.gram", F.xxhash64("w.gram").alias("wid"))
     hits = written(hits.join(small(hashes, 48), "wid", "left_semi"), "likely").join(windows.select("gram", "wid", "gid").distinct(), ["wid", "gram"])
     by_doc = hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("intervals"), F.collect_set("gid").alias("gids"))
