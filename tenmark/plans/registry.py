@@ -279,6 +279,14 @@ def get_by_id(spark: SparkSession, d: str) -> DataFrame:
     return Q.get_by_ids(own, wanted, _SEVEN).select("_id", "o_totalprice")
 
 
+@query("SELECT _id, o_totalprice FROM @docs WHERE tenant = '7' AND o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)")
+def point_read(spark: SparkSession, d: str) -> DataFrame:
+    """The same for an id that is known when the read is planned, as a client's is."""
+    own = documents(spark, d)
+    asked = own.filter("_tenant = 7").agg(F.min("o_orderkey").cast("string").alias("id")).first()["id"]
+    return Q.point_read(own, asked, _SEVEN, TEMPLATE, "7", "o_orderkey").select("_id", "o_totalprice")
+
+
 @query("""SELECT w.pos, w.id, d._id IS NOT NULL AS found, d.o_totalprice FROM (SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos, CAST(event_id % 300 AS VARCHAR) AS id FROM events) w
 LEFT JOIN @docs d ON d.tenant = '7' AND d._id = '7:' || w.id""")
 def mget_positional(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenmark.functions import scalars as S
+
 DEFAULT_SIZE = 10
 
 
@@ -290,6 +292,21 @@ def get_by_ids(base: DataFrame, wanted: DataFrame, fields: dict[str, Any] | None
     return both.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def point_read(base: DataFrame, logical: str, fields: dict[str, Any] | None, template: str, partition: str, key: str) -> DataFrame:
+    """The document of a client's id, if the partition has it.
+
+    ``key`` is the stored column that the template's document value comes from. The id is compared as its type, so the
+    scan is pruned to where it can be; the physical id then decides.
+    """
+    own = base if fields is None else isolated(base, fields)
+    try:
+        one = typed(logical, base.schema[key].dataType)
+    except Rejected:
+        one = None
+    physical = S.to_physical(template, F.lit(partition), F.lit(logical))
+    return own.filter(F.lit(False) if one is None else F.col(key) == one).filter(F.col("_id") == physical)
+
+
 def multi_search(base: DataFrame, items: list[tuple[dict, dict[str, Any] | None]], columns: list[str]) -> DataFrame:
     """Several searches as one plan: hits with their item's ``ordinal``; a rejected item gives one row with its ``error``."""
     parts = []

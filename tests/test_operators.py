@@ -11,7 +11,7 @@ from tenmark.functions import scalars as S
 from tenmark.operators import bulk, control, cursors, observe, rewrite, routing, writes
 from tenmark.plans import registry
 from tenmark.plans import search as Q
-from tenmark.plans.tables import documents
+from tenmark.plans.tables import TEMPLATE, documents
 from tenmark.sources import ndjson
 
 from . import plain_bulk
@@ -264,6 +264,15 @@ def test_query_plans(spark, sf_dir):
     assert "o_totalprice" in plan.split("ReadSchema")[1] and "o_orderdate" not in plan.split("ReadSchema")[1]
 
 
+def test_point_reads_are_pruned(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    ids = [r.o_orderkey for r in docs.filter("_tenant = 7").select("o_orderkey").collect()]
+    plan = Q.point_read(docs, str(ids[0]), {"_tenant": "7"}, TEMPLATE, "7", "o_orderkey")._jdf.queryExecution().toString()
+    assert f"EqualTo(o_orderkey,{ids[0]})" in plan[plan.rindex("PushedFilters") :]
+    read = lambda i, p="7": Q.point_read(docs, i, {"_tenant": p}, TEMPLATE, p, "o_orderkey").count()
+    assert read(str(ids[0])) == 1 and read(f"0{ids[0]}") == 0 and read("x") == 0 and read(str(ids[0]), "8") == 0
+
+
 def test_ill_typed_values_are_rejected(spark, sf_dir):
     docs = documents(spark, sf_dir)
     for query in ({"term": {"o_totalprice": "abc"}}, {"range": {"o_orderkey": {"gt": "x"}}}, {"term": {"o_orderkey": True}}, {"term": {"o_orderdate": "never"}}, {"term": {"o_orderstatus": {"value": ["F"]}}}, {"terms": {"o_orderkey": [1, "q"]}}, {"prefix": {"o_orderstatus": 1}}):
