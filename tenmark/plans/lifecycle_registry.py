@@ -222,6 +222,17 @@ def policy_ingest(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "partition", F.col("_id").alias("id"), F.get_json_object("_source", "$._tenant").alias("tenant"), F.get_json_object("_source", "$._region").alias("region"), F.col("_routing").alias("routing"))
 
 
+@query("""WITH t AS (SELECT *, logical_index LIKE 'ord%' AND endpoint <> 'Admin' AS through FROM @req), w AS (SELECT *, CASE WHEN endpoint IN ('IngestDoc', 'IngestBulk', 'DeleteById') AND seq % 3 = 0 OR seq % 4 <> 1 THEN CAST(user_id AS VARCHAR) END AS whose FROM t)
+SELECT request_id, through, CASE WHEN NOT through AND endpoint <> 'Admin' THEN whose END AS owner, CASE WHEN through THEN NULL WHEN endpoint = 'Admin' THEN 'unsupported_endpoint' WHEN whose IS NULL THEN 'partition_unresolved' WHEN p.cluster IS NULL THEN 'placement_missing' END AS error
+FROM w LEFT JOIN @placement p ON CASE WHEN NOT through AND endpoint <> 'Admin' THEN whose END = p.partition""")
+def policy_route(spark: SparkSession, d: str) -> DataFrame:
+    """A deployment's policy from request to target, tenants' indexes beside one that passes through."""
+    body = F.when(F.col("body_tenant").isNotNull(), F.to_json(F.struct(F.col("body_tenant").alias("tenant_id")))).otherwise(F.lit("{}"))
+    rows = requests(spark, d).withColumn("body", body)
+    out = Policy().route(rows, routing.current_placements(placement_log(spark, d)), ("ord",))
+    return out.select("request_id", (F.col("branch") == "passthrough").alias("through"), F.col("partition").alias("owner"), "error")
+
+
 # --- traces, headers, delivery ----------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenmark.functions import scalars as S
-from tenmark.operators import rewrite, routing
+from tenmark.operators import lifecycle, rewrite, routing
 
 
 @dataclass(frozen=True)
@@ -47,3 +47,19 @@ class Policy:
     def ingest(self, docs: DataFrame) -> DataFrame:
         """``partition, _source`` to stored form; see ``rewrite.for_write``."""
         return rewrite.for_write(docs, self.template, self.fields(F.col("partition")), self.set_routing)
+
+    def route(self, requests: DataFrame, placements: DataFrame, passthrough: tuple[str, ...] | None = None) -> DataFrame:
+        """Requests ``method, path, headers, body`` with what serves them, whose they are and where that lives, or an ``error``.
+
+        A request that passes through has no partition and no error of tenancy.
+        """
+        rows = routing.classified(requests)
+        rows = rows.withColumn("branch", lifecycle.branch(F.col("endpoint"), F.col("logical_index"), passthrough))
+        whose = F.when(F.col("endpoint").isin(*routing.WRITES), self.write_partition(F.col("body"), F.col("headers"))).otherwise(self.read_partition(F.col("headers")))
+        through = F.coalesce(F.col("branch") == "passthrough", F.lit(False))
+        rows = routing.placed(routing.resolved(rows, F.when(~through, whose)), placements)
+        return rows.withColumn("error", F.when(~through, F.col("error")))
+
+    def admit(self, routed: DataFrame, stamped: str = "stamped_epoch") -> DataFrame:
+        """Routed writes, those refused whose placement has moved since they were stamped."""
+        return routing.gated(routed, stamped)

@@ -42,6 +42,11 @@ def captured(exchanges: DataFrame) -> DataFrame:
     return exchanges.withColumn("headers", kept)
 
 
+def tee(exchanges: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Appends to ``folder``, as JSON lines, the exchanges whose ``capture`` is wanted; authorization stays out of it."""
+    return captured(exchanges.filter("capture")).drop("capture").writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def windowed_metrics(events: DataFrame, every: str = "1 day", late: str = "1 day") -> DataFrame:
     """Requests and errors per window of event time; rows later than ``late`` are left out."""
     w = F.window("ts", every)

@@ -63,3 +63,16 @@ def test_running_totals_of_any_chunk(spark):
     df = spark.createDataFrame(rows, "key string, seq long, v long")
     for chunk in (1, 7, 1 << 16):
         assert {r.seq: r.t for r in with_running(df, ["key"], "seq", F.col("v"), "t", chunk).collect()} == want
+
+
+def test_only_wanted_exchanges_are_captured(spark, tmp_path):
+    from tenmark.streaming import oplog
+
+    (tmp_path / "in").mkdir()
+    rows = [("r1", True, [("Authorization", "x"), ("a", "b")]), ("r2", False, [("a", "b")])]
+    spark.createDataFrame(rows, "request_id string, capture boolean, headers array<struct<name:string,value:string>>").write.parquet(str(tmp_path / "in/a"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in/a")).schema).parquet(str(tmp_path / "in/*"))
+    for _ in range(2):  # a restart adds nothing
+        oplog.tee(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(r.request_id, [(h.name, h.value) for h in r.headers]) for r in got] == [("r1", [("a", "b")])]
