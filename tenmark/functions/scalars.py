@@ -28,6 +28,18 @@ def json_scalar(body: Column, path: str) -> Column:
     return F.when(F.coalesce(kind.rlike("^(OBJECT|ARRAY)"), F.lit(False)), F.lit(None)).otherwise(text)
 
 
+def lone_surrogate(body: Column) -> Column:
+    """Whether a JSON text escapes half a surrogate pair; its string then is no text."""
+    plain = F.regexp_replace(body, r"\\\\", "")  # escaped backslashes
+    paired = F.regexp_replace(plain, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
+    return paired.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")
+
+
+def json_text(body: Column, path: str) -> Column:
+    """``json_scalar`` of a document whose strings are all texts, else null."""
+    return F.when(~lone_surrogate(body), json_scalar(body, path))
+
+
 def is_json_object(body: Column) -> Column:
     return F.json_object_keys(body).isNotNull()
 

@@ -336,6 +336,14 @@ def json_shapes(spark: SparkSession, d: str) -> DataFrame:
     return bodies(spark, d).select("key", _long(F.size(F.json_object_keys(b))).alias("n_keys"), S.has_key(b, "id").alias("has_id"), F.try_parse_json(cut).isNotNull().alias("valid"), S.is_json_object(b).alias("ok_object"))
 
 
+@query(r"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' || chr(10) WHEN 1 THEN chr(128512) WHEN 3 THEN '\ud83d' END AS a FROM events")
+def json_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Escapes in keys and strings: pairs are one character, half a pair is refused, an escaped backslash begins none."""
+    forms = (r'{"\u0061":"x\n"}', r'{"a":"\ud83d\ude00"}', r'{"a":"\ud83d"}', r'{"a":"\\ud83d"}')
+    body = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", S.json_text(body, "a").alias("a"))
+
+
 @query("SELECT o_orderkey AS key, 'a-' || o_custkey || '-' AS before, '-z' AS after, true AS back FROM orders")
 def template_frames(spark: SparkSession, d: str) -> DataFrame:
     """What a reversible template puts around the one value of the document."""
