@@ -43,3 +43,15 @@ def test_awkward_rows_pass(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = registry_written(stage(spark, empty, sf_dir), "empty")
     assert empty.count() == 0
+
+
+def test_run_leaves_its_result_alone(spark, sf_dir):
+    from tenmark.llm import common
+
+    before = set(common._written)
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert [path for _, path in set(common._written) - before] == [out.folder]
+    first = sorted(map(tuple, out.collect()))
+    assert first and first == sorted(map(tuple, out.collect()))
+    docs = {d for d, _ in brute.documents(registry.table(spark, sf_dir, "documents"))}
+    assert {r[0] for r in first} < docs
