@@ -234,9 +234,10 @@ def response(base: DataFrame, body: dict, fields: dict[str, Any] | None, tie: st
 
     The page is at most ``size`` rows, so they fit a row; the total is a count of its own over the same scan.
     """
-    page = search(base, body, fields, tie).select(F.to_json(F.struct("*")).alias("hit"), F.monotonically_increasing_id().alias("at"))
-    hits = page.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hit"))), lambda x: x["hit"]).alias("hits"))
-    return matched(base, body, fields).agg(F.count("*").alias("total")).join(hits)
+    page = search(base, body, fields, tie).select(F.to_json(F.struct("*")).alias("hit"), F.monotonically_increasing_id().alias("at"), F.lit(0).cast("long").alias("total"))
+    total = matched(base, body, fields).agg(F.count("*").alias("total")).select(F.lit(None).cast("string").alias("hit"), F.lit(None).cast("long").alias("at"), "total")
+    held = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "hit"))))
+    return page.unionAll(total).agg(F.sum("total").alias("total"), F.transform(held, lambda x: x["hit"]).alias("hits"))
 
 
 _METRICS = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "value_count": F.count}
