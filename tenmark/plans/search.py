@@ -177,7 +177,8 @@ def predicate(query: dict | None, schema: T.StructType) -> Column:
     raise Rejected(f"unsupported query {kind}")
 
 
-def ordering(sort: Any, columns: list[str]) -> list[Column]:
+def sort_terms(sort: Any, columns: list[str]) -> list[tuple[str, bool]]:
+    """``(field, descending)`` of each term of a sort."""
     out = []
     for one in _list(sort or []):
         name, how = (one, "asc") if isinstance(one, str) else _single(one)
@@ -186,26 +187,33 @@ def ordering(sort: Any, columns: list[str]) -> list[Column]:
             raise Rejected("there are no scores to sort by")
         if name not in columns:
             raise Rejected("a sort names no field")
-        out.append(F.col(name).desc_nulls_last() if how == "desc" else F.col(name).asc_nulls_last())
+        out.append((name, how == "desc"))
     return out
 
 
-def isolated(base: DataFrame, fields: dict[str, Any]) -> DataFrame:
-    """The part of ``base`` that the partition-valued fields own. A shared placement without such a field is refused.
+def ordering(sort: Any, columns: list[str]) -> list[Column]:
+    return [F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last() for name, down in sort_terms(sort, columns)]
+
+
+def isolation(schema: T.StructType, fields: dict[str, Any]) -> Column:
+    """What the partition-valued fields own. A shared placement without such a field is refused.
 
     The partition, a text, is compared as a value of the field's stored type; one that is none owns nothing.
     """
     if not fields:
         raise Rejected("a shared placement needs a field that holds the partition")
+    out = []
     for k, v in fields.items():
         try:
-            one = typed(v, base.schema[k].dataType)
-            if one is not None and str(v).strip() != str(v):
-                one = None
+            one = typed(v, schema[k].dataType) if str(v).strip() == str(v) else None
         except Rejected:
             one = None
-        base = base.filter(F.lit(False) if one is None else F.col(k) == one)
-    return base
+        out.append(F.lit(False) if one is None else F.col(k) == one)
+    return reduce(lambda a, b: a & b, out)
+
+
+def isolated(base: DataFrame, fields: dict[str, Any]) -> DataFrame:
+    return base.filter(isolation(base.schema, fields))
 
 
 def matched(base: DataFrame, body: dict, fields: dict[str, Any] | None) -> DataFrame:
@@ -308,15 +316,35 @@ def point_read(base: DataFrame, logical: str, fields: dict[str, Any] | None, tem
     return own.filter(F.lit(False) if one is None else F.col(key) == one).filter(F.col("_id") == physical)
 
 
-def multi_search(base: DataFrame, items: list[tuple[dict, dict[str, Any] | None]], columns: list[str]) -> DataFrame:
-    """Several searches as one plan: hits with their item's ``ordinal``; a rejected item gives one row with its ``error``."""
-    parts = []
+def multi_search(base: DataFrame, items: list[tuple[dict, dict[str, Any] | None]], columns: list[str], tie: str = "_id") -> DataFrame:
+    """Several searches of one relation in one scan: hits with their item's ``ordinal``; a rejected item gives one row with its ``error``.
+
+    A row meets every item once, under the item's own isolation and query. Items rank their rows by their own terms, and
+    ranks are cut before rows are dealt.
+    """
+    wanted, errors = [], []
     for k, (body, fields) in enumerate(items):
         try:
-            part = search(base, body, fields).select(*columns).withColumn("error", F.lit(None).cast("string"))
+            check(body, fields is not None)
+            own = predicate(body.get("query"), base.schema)
+            own = own if fields is None else isolation(base.schema, fields) & own
+            first = int(body.get("from", 0))
+            wanted.append((k, own, sort_terms(body.get("sort"), base.columns), first, first + int(body.get("size", DEFAULT_SIZE))))
         except Rejected as e:
-            part = base.limit(0).select(*columns).withColumn("error", F.lit(None).cast("string"))
-            none = base.sparkSession.range(1).select(*(F.lit(None).cast(base.schema[c].dataType).alias(c) for c in columns), F.lit(str(e)).alias("error"))
-            part = part.unionByName(none)
-        parts.append(part.withColumn("ordinal", F.lit(k)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            errors.append((k, str(e)))
+    spark, none = base.sparkSession, F.lit(None)
+    kinds = {c: base.schema[c].dataType for c in columns}
+    out = spark.createDataFrame(errors, "ordinal int, error string").select(*(none.cast(t).alias(c) for c, t in kinds.items()), "error", "ordinal")
+    if not wanted:
+        return out
+    found = base.filter(reduce(lambda a, b: a | b, (own for _, own, *_ in wanted)))
+    found = found.withColumn("ordinal", F.explode(F.array_compact(F.array(*(F.when(own, F.lit(k)) for k, own, *_ in wanted)))))
+    terms = []
+    for k, _, sort, *_ in wanted:
+        for name, down in sort:
+            term = F.when(F.col("ordinal") == k, F.col(name))  # null, and so without effect, for other items
+            terms.append(term.desc_nulls_last() if down else term.asc_nulls_last())
+    ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("ordinal").orderBy(*terms, F.col(tie))))
+    ranked = ranked.filter(F.col("_rank") <= max(stop for *_, stop in wanted))
+    page = reduce(lambda a, b: a | b, ((F.col("ordinal") == k) & (F.col("_rank") > first) & (F.col("_rank") <= stop) for k, _, _, first, stop in wanted))
+    return ranked.filter(page).select(*columns, none.cast("string").alias("error"), "ordinal").unionAll(out)

@@ -284,3 +284,20 @@ def test_ill_typed_values_are_rejected(spark, sf_dir):
     assert Q.count(docs, {"query": {"bool": {"must_not": none}}}, {"_tenant": "7"}).first()[0] == own > 0
     assert Q.count(docs, {"query": {"range": {"o_orderkey": {"gt": 0.5, "lt": 1 << 70}}}}, {"_tenant": "7"}).first()[0] == own
     assert Q.count(docs, {}, {"_tenant": "no number"}).first()[0] == 0
+
+
+def test_multi_search_equals_its_searches(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    bodies = [{"size": 3}, {"sort": [{"o_totalprice": "desc"}], "from": 2, "size": 4}, {"query": {"term": {"o_orderstatus": "F"}}, "sort": ["o_orderpriority", {"o_orderdate": "desc"}]}, {"suggest": {}}, {"size": 0}, {"query": {"range": {"o_totalprice": {"gt": "x"}}}}, {}]
+    items = [(b, None if k == 6 else {"_tenant": str(7 + k % 2)}) for k, b in enumerate(bodies)]
+    out = Q.multi_search(docs, items, ["_id"])
+    assert out._jdf.queryExecution().toString().count("FileScan parquet") <= 2  # once in the plan, once in its adaptive form
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.ordinal].append(r.error or r["_id"])
+    for k, (body, fields) in enumerate(items):
+        try:
+            want = sorted(r["_id"] for r in Q.search(docs, body, fields).collect())
+        except Q.Rejected as e:
+            want = [str(e)]
+        assert sorted(got[k]) == want, k
