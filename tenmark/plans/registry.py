@@ -389,7 +389,7 @@ def bulk_parse(spark: SparkSession, d: str) -> DataFrame:
 
     meta = F.concat(F.lit('{"'), F.col("action"), F.lit('":{"_id":"'), F.col("key"), F.lit('"}}\n'))
     line = F.concat(meta, F.when(F.col("action") == "delete", "").otherwise(F.concat(F.lit('{"part":'), F.col("source").cast("string"), F.lit("}\r\n\n"))))
-    own = operations(spark, d).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("x"))
+    own = operations(spark, d).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("x"))
     sent = own.select(F.col("request_id").cast("string").alias("request_id"), F.array_join(F.transform("x", lambda x: x["line"]), "").alias("body"))
     return parse_bulk(sent).select(_long(F.col("request_id")).alias("request_id"), _long(F.col("ordinal")).alias("ordinal"), "action", "id", F.get_json_object("source", "$.part").alias("part"))
 

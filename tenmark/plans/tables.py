@@ -6,7 +6,7 @@ bulk operations from ``lineitem``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TEMPLATE = "{partition}:{body.id}"
@@ -53,15 +53,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("req-"), n).alias("request_id"), "ts", method.alias("method"), path.alias("path"), body_tenant.alias("body_tenant"), headers.alias("headers"), "user_id", "event_type", F.col("props").alias("body"), "value")
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """Line items as a request's, ``request_id`` for their order, with ``ordinal``: dealt by the name that later steps group by, so that they need no second shuffle."""
+    order = Window.partitionBy("request_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    return items.withColumnRenamed("l_orderkey", "request_id").withColumn("ordinal", F.row_number().over(order) - 1)
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk operations ``request_id, ordinal, action, key, target, source, bytes``; one request per order."""
-    from pyspark.sql import Window
-
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
     action = F.when(F.col("l_returnflag") == "A", "index").when(F.col("l_returnflag") == "N", "create").otherwise("delete")
-    return li.select(
-        F.col("l_orderkey").alias("request_id"), (F.row_number().over(order) - 1).cast("int").alias("ordinal"), action.alias("action"),
-        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"),
+    return numbered(table(spark, sf_dir, "lineitem")).select(
+        "request_id", F.col("ordinal").cast("int").alias("ordinal"), action.alias("action"),
+        F.concat_ws(":", F.col("request_id").cast("string"), F.col("l_linenumber").cast("string")).alias("key"),
         F.concat(F.lit("t"), (F.col("l_suppkey") % 8).cast("string")).alias("target"), F.col("l_partkey").alias("source"), (F.col("l_partkey") % 1000).cast("int").alias("bytes"),
     )

@@ -8,7 +8,7 @@ row with an ``error``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,11 @@ VERBS = ("index", "create", "update", "delete")
 LINE_CAP = 64 << 20
 #: Keys of a conditional write.
 CONDITIONAL = ("if_seq_no", "if_primary_term", "version", "version_type")
+#: Action lines as most clients send them: one verb, then an index, an id and a routing, each if there, texts without
+#: escapes. Such a line is an object by its form alone; any other is read by the JSON parser.
+_GAP, _PLAIN_TEXT = r"[ \t\r\n]*+", r'"[^"\\\x00-\x1f]{0,512}+"'
+_PLAIN = r"^G\{G\"(?:index|create|update|delete)\"G:G\{G" + "".join(rf'(?:"{k}"G:G(T)G(?:,(?=G")G|(?=\}})))?+' for k in ("_index", "_id", "routing")) + r"\}G\}G\z"
+_PLAIN = _PLAIN.replace("G", _GAP).replace("T", _PLAIN_TEXT)
 BULK_SCHEMA = "request_id string, ordinal int, action string, index string, id string, routing string, cas boolean, source string, error string"
 
 
@@ -44,37 +49,54 @@ def _text(meta: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(meta, f"$.{name}", "string"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` reads it: the optimizer inlines columns, but no lambda's variable."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _operations(lines: Column) -> Column:
+    """A body's operations in order, as ``role, action, line, source, plain``; one without an action if a line is malformed; none for no lines."""
+    verb = lambda x: F.regexp_extract(x, r'^\s*\{\s*"(index|create|update|delete)"\s*:', 1)
+    letter = lambda v: F.when(v == "", "x").when(v == "delete", "d").otherwise("a")
+    op = lambda *cs: F.struct(*(c.cast(t).alias(k) for c, (k, t) in zip(cs, (("role", "string"), ("action", "string"), ("line", "string"), ("source", "string"), ("plain", "boolean")), strict=True)))
+    damaged = op(F.lit("x"), *[F.lit(None)] * 4)
+
+    def every(ls: Column, verbs: Column, roles: Column) -> Column:
+        role = lambda i: F.get(roles, i)
+        return F.transform(ls, lambda x, i: op(role(i), F.get(verbs, i), x, F.when(role(i) == "a", F.get(ls, i + 1)), role(i).isin("a", "d") & x.rlike(_PLAIN)))
+
+    def bad(o: Column) -> Column:
+        # exactly one verb, objects alone, no line beyond the cap, and no action that lacks its document
+        keys, role = F.json_object_keys(o["line"]), o["role"]
+        good = F.when(o["plain"], True).when(role == "s", keys.isNotNull()).when(role == "x", False).otherwise(F.coalesce(F.size(keys) == 1, F.lit(False)))
+        return ~good | (F.octet_length(o["line"]) > LINE_CAP) | ((role == "a") & o["source"].isNull())
+
+    # an action that is no delete takes the line after it, from the left: one letter for each line, in one pass
+    roles = lambda vs: F.split(F.regexp_replace(F.array_join(F.transform(vs, letter), ""), "a.", "as"), "")
+    told = _let(lines, lambda ls: _let(F.transform(ls, verb), lambda vs: _let(roles(vs), lambda rs: every(ls, vs, rs))))
+    return _let(told, lambda os: F.when(F.exists(os, bad), F.array(damaged)).otherwise(F.filter(os, lambda o: o["role"] != "s")))
+
+
 def parse_bulk(bodies: DataFrame) -> DataFrame:
     """Rows of ``BULK_SCHEMA`` from ``request_id, body``; a null body is empty and gives no row.
 
-    Which line is an action depends on the verbs before it: a fold over the verbs gives one letter for each line,
-    and the rest is done line by line. A body is bounded by the cap that requests have.
+    Which line is an action depends on the verbs before it, so a body's lines are told apart in one pass over their
+    verbs; the rest is done line by line, each line once. A body is bounded by the cap that requests have.
     """
     split = F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: ~x.rlike(r"^\s*$"))
-    rows = bodies.select("request_id", split.alias("lines"))
-    verb = lambda x: F.regexp_extract(x, r'^\s*\{\s*"(index|create|update|delete)"\s*:', 1)
-
-    def step(a, x):
-        role = F.when(a["doc"], "s").when(x == "", "x").when(x == "delete", "d").otherwise("a")
-        return F.struct(F.concat(a["roles"], role).alias("roles"), (role == "a").alias("doc"))
-
-    start = F.struct(F.lit("").alias("roles"), F.lit(False).alias("doc"))
-    rows = rows.withColumn("roles", F.aggregate(F.transform("lines", verb), start, step, lambda a: F.split(a["roles"], "")))
-    keys = lambda x: F.json_object_keys(x)
-    role = lambda i: F.get("roles", i)
-    # exactly one verb, objects alone, no line beyond the cap, and no action that lacks its document
-    bad = F.transform("lines", lambda x, i: F.coalesce((role(i) == "x") | keys(x).isNull() | ((role(i) != "s") & (F.size(keys(x)) != 1)), F.lit(True)) | (F.octet_length(x) > LINE_CAP))
-    damaged = F.exists(bad, lambda b: b) | F.coalesce(F.try_element_at("roles", F.lit(-1)) == "a", F.lit(False))
-    pairs = F.filter(F.transform("lines", lambda x, i: F.struct(role(i).alias("role"), x.alias("line"), F.get("lines", i + 1).alias("next"))), lambda p: p["role"] != "s")
-    rows = rows.select("request_id", F.when(F.size("lines") > 0, damaged).otherwise(False).alias("damaged"), pairs.alias("pairs"))
-    good = rows.filter("NOT damaged").select("request_id", F.posexplode("pairs").alias("ordinal", "p"))
-    good = good.withColumn("action", verb(F.col("p.line"))).withColumn("meta", F.element_at(F.from_json("p.line", "map<string,variant>"), F.col("action")))
-    meta = F.col("meta")
-    cas = reduce(lambda a, k: a | F.try_variant_get(meta, f"$.{k}", "variant").isNotNull(), CONDITIONAL, F.lit(False))
-    items = good.select("request_id", "ordinal", "action", _text(meta, "_index").alias("index"), _text(meta, "_id").alias("id"), _text(meta, "routing").alias("routing"), cas.alias("cas"), F.when(F.col("p.role") == "a", F.col("p.next")).alias("source"), F.lit(None).cast("string").alias("error"))
-    none = {c: F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns}
-    failed = rows.filter("damaged").select("request_id", *(none[c] for c in items.columns[1:-1]), F.lit("invalid_json").alias("error"))
-    return items.unionByName(failed)
+    # outer, as a filter on the array's size would be worked out beside it; a body without lines gives a null here
+    ops = bodies.select("request_id", F.posexplode_outer(_operations(split)).alias("at", "o")).filter("at IS NOT NULL")
+    action, line = F.col("o.action"), F.col("o.line")
+    good, plain = action.isNotNull(), F.col("o.plain")
+    meta = F.when(~plain, F.element_at(F.from_json(line, "map<string,variant>"), action))
+    ops = ops.select("request_id", F.when(good, F.col("at")).alias("ordinal"), action.alias("action"), line.alias("line"), plain.alias("plain"), meta.alias("meta"), F.col("o.source").alias("source"), F.when(~good, "invalid_json").alias("error"))
+
+    def text(name: str, group: int) -> Column:
+        quoted = F.regexp_extract("line", _PLAIN, group)
+        return F.when(F.col("plain"), F.when(quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - 2))).otherwise(_text(F.col("meta"), name))
+
+    cas = reduce(lambda a, k: a | F.try_variant_get("meta", f"$.{k}", "variant").isNotNull(), CONDITIONAL, F.lit(False))
+    return ops.select("request_id", "ordinal", "action", text("_index", 1).alias("index"), text("_id", 2).alias("id"), text("routing", 3).alias("routing"), F.when(F.col("error").isNull(), cas).alias("cas"), "source", "error")
 
 
 def parse_multi_get(bodies: DataFrame, default_index: str = "") -> DataFrame:

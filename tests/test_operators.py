@@ -136,6 +136,27 @@ def test_bulk_bodies_equal_a_plain_reader(spark):
     assert any(w[-1] for w in want) and sum(w[-1] is None for w in want) > 300
 
 
+def test_bulk_lines_are_worked_out_once(spark):
+    plan = ndjson.parse_bulk(spark.createDataFrame([("1", "")], "request_id string, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    # a body is split once, and neither its lines nor their roles are made anew for each line
+    assert plan.count("coalesce(body#") == 1 and plan.count("regexp_replace(") == 1 and plan.count("json_object_keys(") + plan.count("jsonObjectKeys(") <= 2
+
+
+def test_bulk_action_lines_of_any_form(spark):
+    texts = ["", "1", "é😀\x7f\u2028", "a,b}", "{", "x" * 512, "x" * 513, 'q"', "b\\", "t\t", "n\n"]
+    metas = [json.dumps({k: t for k in keys}, ensure_ascii=raw) for keys in (["_id"], ["_index", "_id"], ["_index", "_id", "routing"], ["_index", "routing"], ["routing", "_id"], ["_id", "version"], []) for t in texts for raw in (True, False)]
+    metas += ['{ "_index" : "i" ,\t"_id" : "1" }', '{"_id":"1",}', '{,"_id":"1"}', '{"_index":"i""_id":"1"}', '{"_index":"i",,"_id":"1"}', '{"_id":"1" "2"}', '{"_id":"a\\u0041"}', '{"_id":1}', '{"_id":null}', '{"_id":{}}', "{", '{"_id":"1"', '{\x0b"_id":"1"}']
+    bodies = [(f"{k}{verb}", f' {{ "{verb}" :{meta}}} \n' + ("" if verb == "delete" else '{"index":{}}')) for k, meta in enumerate(metas) for verb in ("index", "delete")]
+    want = []
+    for rid, body in bodies:
+        try:
+            want += [(rid, *item, None) for item in plain_bulk.bulk_items(body)]
+        except ValueError:
+            want.append((rid, None, None, None, None, None, None, None, "invalid_json"))
+    got = [tuple(r) for r in ndjson.parse_bulk(spark.createDataFrame(bodies, "request_id string, body string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[-1] is not None for w in want) == 16
+
+
 def test_malformed_bulk_fails_whole(spark):
     bad = ['{"index":{}}\n', '{"index":{},"delete":{}}\n{}\n', '{"what":{}}\n{}', "no", '{"index":{}}\n[1]\n', '{"delete":{"_id":"1"}}\n{"index":{}}']
     got = ndjson.parse_bulk(spark.createDataFrame([(str(k), b) for k, b in enumerate([*bad, None, ""])], "request_id string, body string")).collect()
