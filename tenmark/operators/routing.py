@@ -99,16 +99,26 @@ def current_placements(log: DataFrame) -> DataFrame:
     return log.groupBy("partition").agg(F.max_by(F.struct(*rest), "epoch").alias("p")).select("partition", "p.*")
 
 
+#: Fixed value: so many keys are shared by rows without a partition.
+SLOTS = 1 << 20
+
+
 def placed(requests: DataFrame, placements: DataFrame) -> DataFrame:
     """Looks placements up by partition and adds the physical target, or ``placement_missing``.
 
-    An equi-join without a hint: Spark broadcasts the table while its size allows, and else shuffles both.
+    An equi-join without a hint: Spark broadcasts the table while its size allows, and else shuffles both. Rows
+    without a partition match nothing; they are dealt by ``request_id`` (without one, by all plain columns) and not,
+    as one null key, to a single task.
     """
-    p = placements.select(F.col("partition"), F.col("kind"), F.col("cluster"), F.col("index").alias("placed_index"), "epoch", "phase")
-    both = requests.join(p, "partition", "left")
+    by = ["request_id"] if "request_id" in requests.columns else [c for c, t in requests.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
+    p = placements.select(F.col("partition").alias("_placed"), F.col("kind"), F.col("cluster"), F.col("index").alias("placed_index"), "epoch", "phase")
+    own = F.col("partition").cast("string")
+    key = F.coalesce(own, F.pmod(F.xxhash64(*by), F.lit(SLOTS)).cast("string"))
+    both = requests.join(p, (key == F.col("_placed").cast("string")) & own.isNotNull(), "left")
     found = F.col("cluster").isNotNull()
     target = F.when(F.col("kind") == "DedicatedCluster", F.col("logical_index")).otherwise(F.col("placed_index"))
-    return both.withColumn("error", F.coalesce("error", F.when(~found, "placement_missing"))).withColumn("target_index", target).drop("placed_index")
+    rest = [c for c in both.columns if c not in ("partition", "_placed")]
+    return both.select("partition", *rest).withColumn("error", F.coalesce("error", F.when(~found, "placement_missing"))).withColumn("target_index", target).drop("placed_index")
 
 
 def admitted(phase: Column, current: Column, stamped: Column) -> Column:

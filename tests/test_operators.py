@@ -163,6 +163,33 @@ def test_malformed_bulk_fails_whole(spark):
     assert sorted((r.request_id, r.error) for r in got) == [(str(k), "invalid_json") for k in range(len(bad))]
 
 
+def _shuffled(spark, run):
+    """What ``run`` gives while joins shuffle into 8 partitions."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_requests_without_a_partition_are_spread(spark):
+    rows = spark.range(8000).select(F.concat(F.lit("req-"), "id").alias("request_id"), F.when(F.col("id") % 10 == 0, (F.col("id") % 50).cast("string")).alias("partition"), F.lit("i").alias("logical_index"), F.lit(None).cast("string").alias("error"))
+    # placements by the very names that rows without a partition are dealt by are not theirs
+    slots = [r[0] for r in rows.filter("partition IS NULL").limit(20).select(F.pmod(F.xxhash64("request_id"), F.lit(routing.SLOTS)).cast("string")).collect()]
+    placements = spark.createDataFrame([(k, "DedicatedIndex", "c", f"i{k}", 1, "active") for k in {"0", "10", "20", *slots}], "partition string, kind string, cluster string, index string, epoch long, phase string")
+    for requests in (rows, rows.withColumnRenamed("request_id", "path")):
+        got = _shuffled(spark, lambda r=requests: routing.placed(r, placements).withColumn("task", F.spark_partition_id()).collect())
+        assert len(got) == 8000 and all((r.cluster == "c" and r.target_index == f"i{r.partition}") if r.partition in ("0", "10", "20") else (r.cluster is None and r.error == "placement_missing") for r in got)
+        tasks = defaultdict(int)
+        for r in got:
+            tasks[r.task] += r.partition is None
+        assert len(tasks) == 8 and max(tasks.values()) < 7200 / 4
+
+
 def test_writes_fold_like_a_dictionary(spark):
     rng = random.Random(4)
     state = {k: {"v": k} for k in "abc"}
