@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tenmark.functions import scalars as S
-from tenmark.operators import bulk, control, cursors, observe, rewrite, routing, writes
+from tenmark.operators import bulk, control, cursors, lifecycle, observe, rewrite, routing, writes
 from tenmark.plans import registry
 from tenmark.plans import search as Q
 from tenmark.plans.tables import TEMPLATE, documents
@@ -190,6 +190,14 @@ def test_requests_without_a_partition_are_spread(spark):
         assert len(tasks) == 8 and max(tasks.values()) < 7200 / 4
 
 
+def test_bulk_items_without_a_partition_are_spread(spark):
+    items = spark.range(4000).select(F.col("id").alias("request_id"), F.lit(0).alias("ordinal"), F.lit("index").alias("action"), F.lit(None).cast("string").alias("index"), F.lit("1").alias("id"), F.lit("{}").alias("source"), F.when(F.col("id") < 0, "t").alias("partition"), F.lit(1).alias("stamped_epoch"))
+    placements = spark.createDataFrame([("t", "DedicatedIndex", "c", "i", 1, "active")], "partition string, kind string, cluster string, index string, epoch long, phase string")
+    got = _shuffled(spark, lambda: lifecycle.prepared(items, placements, "orders", TEMPLATE).groupBy(F.spark_partition_id().alias("task"), "error").count().collect())
+    assert {r.error for r in got} == {"partition_unresolved"} and sum(r["count"] for r in got) == 4000
+    assert len(got) == 8 and max(r["count"] for r in got) < 1000
+
+
 def test_writes_fold_like_a_dictionary(spark):
     rng = random.Random(4)
     state = {k: {"v": k} for k in "abc"}
