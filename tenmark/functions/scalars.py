@@ -7,6 +7,7 @@ number or boolean; objects, arrays, null and missing paths are none.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` reads it: the optimizer inlines columns, but no lambda's variable."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def json_path(path: str) -> str:
     """The JSONPath of dotted keys."""
     return "$" + "".join(f"['{k}']" for k in path.split("."))
@@ -48,9 +54,18 @@ def has_key(body: Column, name: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(body), name), F.lit(False))
 
 
+def plain_text(value: Column) -> Column:
+    """Whether a text is ASCII without anything that JSON escapes."""
+    return value.rlike(r"\A[ !#-\[\]-~]*+\z")
+
+
+def quoted(value: Column) -> Column:
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
 def json_string(value: Column) -> Column:
     """A JSON string literal of a text, null for null."""
-    return F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1"))
+    return F.when(plain_text(value), quoted(value)).when(value.isNotNull(), F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1"))
 
 
 def is_json_number(text: Column) -> Column:

@@ -47,10 +47,9 @@ ITEM_STATUS = {
 
 
 def item_status(error: Column, result: Column) -> Column:
-    out = F.when(error.isNull(), F.when(result == "created", 201).otherwise(200))
-    for slug, status in ITEM_STATUS.items():
-        out = out.when(error == slug, status)
-    return out.otherwise(500)
+    """One lookup: a branch for each error would make a method too long to be compiled."""
+    known = F.create_map(*(F.lit(x) for pair in ITEM_STATUS.items() for x in pair))
+    return F.when(error.isNull(), F.when(result == "created", 201).otherwise(200)).otherwise(F.coalesce(F.try_element_at(known, error), F.lit(500)))
 
 
 def item_error(action: Column, ident: Column, source: Column) -> Column:
@@ -61,5 +60,5 @@ def item_error(action: Column, ident: Column, source: Column) -> Column:
 def interleaved(items: DataFrame, request: str = "request_id") -> DataFrame:
     """One row per request: ``items`` in ordinal order and whether any has an error. A request's items are one value."""
     line = F.struct("ordinal", "line")
-    ordered = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    ordered = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
     return items.groupBy(request).agg(F.bool_or("is_error").alias("errors"), F.array_join(ordered, ",").alias("items"))

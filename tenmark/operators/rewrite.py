@@ -28,7 +28,13 @@ def inject(body: Column, fields: dict[str, Column]) -> Column:
 
 
 def inject_error(body: Column, fields: dict[str, Column]) -> Column:
-    return F.when(~S.is_json_object(body), "invalid_json").when(collides(body, list(fields)), "reserved_field_collision")
+    return keys_error(F.json_object_keys(body), list(fields))
+
+
+def keys_error(keys: Column, names: list[str]) -> Column:
+    """``inject_error`` of a document whose keys are known; null keys are no object's."""
+    taken = F.arrays_overlap(keys, F.array(*map(F.lit, names))) if names else F.lit(False)
+    return F.when(keys.isNull(), "invalid_json").when(taken, "reserved_field_collision")
 
 
 def inject_update(body: Column, fields: dict[str, Column]) -> Column:

@@ -10,7 +10,7 @@ from tenmark.operators import bulk, control, cursors, delivery, lifecycle, obser
 from tenmark.plans import search as Q
 from tenmark.plans.catalog import query
 from tenmark.plans.policy import Policy
-from tenmark.plans.tables import TEMPLATE, bodies, documents, placement_log, requests, table
+from tenmark.plans.tables import TEMPLATE, bodies, documents, numbered, placement_log, requests, table
 from tenmark.streaming import oplog
 
 _long = lambda c: c.cast("long")
@@ -21,15 +21,14 @@ _long = lambda c: c.cast("long")
 
 def bulk_items(spark: SparkSession, d: str) -> DataFrame:
     """One item per line item, with everything that can go wrong in turn."""
-    li = table(spark, d, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    n, own = F.col("l_linenumber"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    li = numbered(table(spark, d, "lineitem"))
+    n, own = F.col("l_linenumber"), F.concat_ws("-", F.col("request_id").cast("string"), F.col("l_linenumber").cast("string"))
     part = F.col("l_partkey").cast("string")
     action = F.when(F.col("l_returnflag") == "A", "index").when(F.col("l_returnflag") == "N", "create").when(n % 2 == 0, "update").otherwise("delete")
     source = F.when(F.col("l_quantity") < 3, None).when(F.col("l_quantity") < 5, F.lit("[1]")).when(F.col("l_quantity") < 7, F.lit('{"_tenant":"x"}')).when(F.col("l_quantity") < 9, F.lit('{"p":1}'))
     source = source.otherwise(F.when(action == "update", F.concat(F.lit('{"doc":{"p":'), part, F.lit("}}"))).otherwise(F.concat(F.lit('{"id":'), part, F.lit("}"))))
     return li.select(
-        F.col("l_orderkey").alias("request_id"), _long(F.row_number().over(order) - 1).alias("ordinal"), action.alias("action"),
+        "request_id", _long(F.col("ordinal")).alias("ordinal"), action.alias("action"),
         F.when(n % 5 == 0, "other").alias("index"), F.when(F.col("l_partkey") % 3 != 0, own).alias("id"),
         F.when(F.col("l_quantity") > 0, F.when((F.col("l_quantity") < 3) | (action != "delete"), source)).alias("source"),
         F.when(F.col("l_partkey") % 13 != 0, (F.col("l_suppkey") * 20).cast("string")).alias("partition"),

@@ -8,12 +8,14 @@ row with an ``error``.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenmark.functions.scalars import let
+
 VERBS = ("index", "create", "update", "delete")
 LINE_CAP = 64 << 20
 #: Keys of a conditional write.
@@ -49,11 +51,6 @@ def _text(meta: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(meta, f"$.{name}", "string"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once, however often ``then`` reads it: the optimizer inlines columns, but no lambda's variable."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _operations(lines: Column) -> Column:
     """A body's operations in order, as ``role, action, line, source, plain``; one without an action if a line is malformed; none for no lines."""
     verb = lambda x: F.regexp_extract(x, r'^\s*\{\s*"(index|create|update|delete)"\s*:', 1)
@@ -73,8 +70,8 @@ def _operations(lines: Column) -> Column:
 
     # an action that is no delete takes the line after it, from the left: one letter for each line, in one pass
     roles = lambda vs: F.split(F.regexp_replace(F.array_join(F.transform(vs, letter), ""), "a.", "as"), "")
-    told = _let(lines, lambda ls: _let(F.transform(ls, verb), lambda vs: _let(roles(vs), lambda rs: every(ls, vs, rs))))
-    return _let(told, lambda os: F.when(F.exists(os, bad), F.array(damaged)).otherwise(F.filter(os, lambda o: o["role"] != "s")))
+    told = let(lines, lambda ls: let(F.transform(ls, verb), lambda vs: let(roles(vs), lambda rs: every(ls, vs, rs))))
+    return let(told, lambda os: F.when(F.exists(os, bad), F.array(damaged)).otherwise(F.filter(os, lambda o: o["role"] != "s")))
 
 
 def parse_bulk(bodies: DataFrame) -> DataFrame:

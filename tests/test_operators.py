@@ -198,6 +198,18 @@ def test_bulk_items_without_a_partition_are_spread(spark):
     assert len(got) == 8 and max(r["count"] for r in got) < 1000
 
 
+@pytest.mark.parametrize("name", ["bulk_response"])
+def test_answers_are_compiled(spark, sf_dir, name):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # the JVM interprets methods of more bytes, at several times the cost
+    assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) < 8000
+
+
 def test_writes_fold_like_a_dictionary(spark):
     rng = random.Random(4)
     state = {k: {"v": k} for k in "abc"}
