@@ -198,7 +198,7 @@ def test_bulk_items_without_a_partition_are_spread(spark):
     assert len(got) == 8 and max(r["count"] for r in got) < 1000
 
 
-@pytest.mark.parametrize("name", ["bulk_response"])
+@pytest.mark.parametrize("name", ["bulk_response", "bulk_lines"])
 def test_answers_are_compiled(spark, sf_dir, name):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     try:
@@ -210,6 +210,18 @@ def test_answers_are_compiled(spark, sf_dir, name):
     assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) < 8000
 
 
+def test_bulk_lines_of_any_text(spark):
+    texts = [None, "", "a b~", 'q"', "b\\", "é😀", "\x7f", "t\tn\n", "\u2028"]
+    rows = [(n, i, k, o, e) for n, (i, k, o, e) in enumerate((i, k, o, e) for i in texts[1:] for k in texts for o in (None, "op", 'o"') for e in (None, "stale_epoch", 'e"', "what"))]
+    df = spark.createDataFrame(rows, "n int, i string, k string, o string, e string")
+    line = lifecycle.bulk_line(F.lit("create"), F.col("i"), F.col("k"), bulk.item_status(F.col("e"), F.lit("created")), F.lit("created"), F.col("o"), F.col("e"))
+    for r in df.select("*", line.alias("line")).collect():
+        status = 201 if r.e is None else {"stale_epoch": 409}.get(r.e, 500)
+        rest = {"status": status, "error": {"type": r.e}} if r.e is not None else {"status": status, "result": "created"} if r.o is None else {"op_id": r.o, "status": status, "result": "queued"}
+        want = {"create": {"_index": r.i, "_id": r.k, **rest}}
+        assert json.loads(r.line) == want and list(json.loads(r.line)["create"]) == list(want["create"]), r
+
+
 def test_writes_fold_like_a_dictionary(spark):
     rng = random.Random(4)
     state = {k: {"v": k} for k in "abc"}
