@@ -103,15 +103,22 @@ def current_placements(log: DataFrame) -> DataFrame:
 SLOTS = 1 << 20
 
 
+def _broadcast(table: DataFrame) -> bool:
+    """Whether Spark broadcasts a table in a join without a hint."""
+    most = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
+
+
 def placed(requests: DataFrame, placements: DataFrame) -> DataFrame:
     """Looks placements up by partition and adds the physical target, or ``placement_missing``.
 
-    An equi-join without a hint: Spark broadcasts the table while its size allows, and else shuffles both. Rows
-    without a partition match nothing; they are dealt by ``request_id`` (without one, by all plain columns) and not,
-    as one null key, to a single task.
+    Spark broadcasts the table while its size allows, and else shuffles both; then a task holds its share of the
+    placements and reads its requests past them, without sorting these. Rows without a partition match nothing; they
+    are dealt by ``request_id`` (without one, by all plain columns) and not, as one null key, to a single task.
     """
     by = ["request_id"] if "request_id" in requests.columns else [c for c, t in requests.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
     p = placements.select(F.col("partition").alias("_placed"), F.col("kind"), F.col("cluster"), F.col("index").alias("placed_index"), "epoch", "phase")
+    p = p if _broadcast(p) else p.hint("shuffle_hash")
     own = F.col("partition").cast("string")
     key = F.coalesce(own, F.pmod(F.xxhash64(*by), F.lit(SLOTS)).cast("string"))
     both = requests.join(p, (key == F.col("_placed").cast("string")) & own.isNotNull(), "left")

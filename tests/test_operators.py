@@ -198,6 +198,27 @@ def test_bulk_items_without_a_partition_are_spread(spark):
     assert len(got) == 8 and max(r["count"] for r in got) < 1000
 
 
+def test_requests_are_not_sorted_for_their_placements(spark):
+    requests = spark.range(3000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 7 != 0, (F.col("id") % 90).cast("string")).alias("partition"), F.lit("i").alias("logical_index"), F.lit(None).cast("string").alias("error"))
+    number = F.col("id").cast("string")
+    placements = spark.range(60).select(number.alias("partition"), F.when(F.col("id") % 2 == 0, "DedicatedIndex").otherwise("DedicatedCluster").alias("kind"), F.lit("c").alias("cluster"), F.concat(F.lit("x"), number).alias("index"), F.lit(1).alias("epoch"), F.lit("active").alias("phase"))
+
+    def run():
+        found = routing.placed(requests, placements)
+        return found._jdf.queryExecution().executedPlan().toString(), {r.request_id: (r.partition, r.target_index, r.error) for r in found.collect()}
+
+    plan, got = _shuffled(spark, run)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert len(got) == 3000
+    for k, (p, target, error) in got.items():
+        there = k % 7 != 0 and k % 90 < 60
+        assert p == (str(k % 90) if k % 7 else None)
+        assert (target, error) == ((f"x{p}" if k % 90 % 2 == 0 else "i", None) if there else (None, "placement_missing"))
+    # a table that Spark may broadcast still is
+    plan, again = run()
+    assert "BroadcastHashJoin" in plan and again == got
+
+
 @pytest.mark.parametrize("name", ["bulk_response", "bulk_lines"])
 def test_answers_are_compiled(spark, sf_dir, name):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
