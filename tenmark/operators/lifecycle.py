@@ -95,9 +95,9 @@ def prepared(items: DataFrame, placements: DataFrame, default_index: str, templa
     partition, placement, id, document, collision, made id and epoch gate is the item's; it has no body then.
     """
     action, source, partition = F.col("action"), F.col("source"), F.col("partition")
-    rows = items.withColumn("logical_index", F.coalesce("index", F.lit(default_index))).drop("index")
-    rows = rows.withColumn("error", F.when(partition.isNull(), "partition_unresolved"))
-    rows = routing.placed(rows, placements)
+    # what follows from an item alone is named after the join, so that it is not shuffled
+    rows = routing.located(items, placements).withColumn("logical_index", F.coalesce("index", F.lit(default_index))).drop("index")
+    rows = routing.targeted(rows.withColumn("error", F.when(partition.isNull(), "partition_unresolved")))
     shared = F.coalesce(F.col("kind") == "SharedIndex", F.lit(False))
     writes_doc = action.isin("index", "create")
     # each document is read once for its id and once for its keys, and only where they count

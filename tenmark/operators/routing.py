@@ -109,8 +109,8 @@ def _broadcast(table: DataFrame) -> bool:
     return table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
 
 
-def placed(requests: DataFrame, placements: DataFrame) -> DataFrame:
-    """Looks placements up by partition and adds the physical target, or ``placement_missing``.
+def located(requests: DataFrame, placements: DataFrame) -> DataFrame:
+    """Looks placements up by partition: adds ``kind, cluster, placed_index, epoch, phase``, null where there is none.
 
     Spark broadcasts the table while its size allows, and else shuffles both; then a task holds its share of the
     placements and reads its requests past them, without sorting these. Rows without a partition match nothing; they
@@ -122,10 +122,18 @@ def placed(requests: DataFrame, placements: DataFrame) -> DataFrame:
     own = F.col("partition").cast("string")
     key = F.coalesce(own, F.pmod(F.xxhash64(*by), F.lit(SLOTS)).cast("string"))
     both = requests.join(p, (key == F.col("_placed").cast("string")) & own.isNotNull(), "left")
-    found = F.col("cluster").isNotNull()
+    return both.select("partition", *(c for c in both.columns if c not in ("partition", "_placed")))
+
+
+def targeted(rows: DataFrame) -> DataFrame:
+    """Adds the physical target to ``located`` rows with ``logical_index`` and ``error``, or ``placement_missing``."""
     target = F.when(F.col("kind") == "DedicatedCluster", F.col("logical_index")).otherwise(F.col("placed_index"))
-    rest = [c for c in both.columns if c not in ("partition", "_placed")]
-    return both.select("partition", *rest).withColumn("error", F.coalesce("error", F.when(~found, "placement_missing"))).withColumn("target_index", target).drop("placed_index")
+    return rows.withColumn("error", F.coalesce("error", F.when(F.col("cluster").isNull(), "placement_missing"))).withColumn("target_index", target).drop("placed_index")
+
+
+def placed(requests: DataFrame, placements: DataFrame) -> DataFrame:
+    """Looks placements up by partition and adds the physical target, or ``placement_missing``."""
+    return targeted(located(requests, placements))
 
 
 def admitted(phase: Column, current: Column, stamped: Column) -> Column:

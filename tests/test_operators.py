@@ -219,6 +219,16 @@ def test_requests_are_not_sorted_for_their_placements(spark):
     assert "BroadcastHashJoin" in plan and again == got
 
 
+def test_items_travel_to_their_placements_as_they_are(spark, sf_dir):
+    def found(plan, kind):
+        return [plan] if plan.nodeName() == kind else [x for k in range(plan.children().size()) for x in found(plan.children().apply(k), kind)]
+
+    plan = _shuffled(spark, lambda: registry.QUERIES["bulk_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan())
+    assert not found(plan, "SortMergeJoin")
+    sent = [x for j in found(plan, "ShuffledHashJoin") for x in found(j.left(), "Exchange")][0].output()
+    assert sorted(sent.apply(k).name() for k in range(sent.size())) == sorted(["request_id", "ordinal", "action", "index", "id", "source", "partition", "stamped_epoch"])
+
+
 @pytest.mark.parametrize("name", ["bulk_response", "bulk_lines"])
 def test_answers_are_compiled(spark, sf_dir, name):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
